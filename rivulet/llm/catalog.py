@@ -12,27 +12,52 @@ from pyspark.sql import DataFrame, SparkSession
 from rivulet.llm.common import table
 
 
+def op1_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.llm.topk import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rivulet.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.llm.decontamination import find
+
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rivulet.llm.sharding import assign, grow, tree
 
     return assign(table(spark, sf_dir, "documents"), tree(), grow(tree()))
 
 
+def op10_simhash_popcount_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.llm.simhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _h(expr: str) -> str:
     return f"CAST('0x' || substr(md5({expr}), 1, 13) AS BIGINT)"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_mix_sources, op8_hash_tree_shards)
+    f.__name__: f for f in (op1_nra_top_k, op6_mix_sources, op7_simhash_decontamination, op8_hash_tree_shards, op10_simhash_popcount_grid)
 }
 
 ORACLES: dict[str, str] = {
+    "op1_nra_top_k": """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s QUALIFY rank <= 20""",
     "op6_mix_sources": f"""
     WITH d AS (
       SELECT doc_id, source AS src, source IS NULL AS is_null, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
