@@ -18,6 +18,18 @@ def op1_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
+def op2_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.llm.quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rivulet.llm.mixing import mix
 
@@ -36,6 +48,12 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"), tree(), grow(tree()))
 
 
+def op9_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_popcount_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rivulet.llm.simhash_dedup import near_duplicates
 
@@ -47,7 +65,16 @@ def _h(expr: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nra_top_k, op6_mix_sources, op7_simhash_decontamination, op8_hash_tree_shards, op10_simhash_popcount_grid)
+    f.__name__: f for f in (
+        op1_nra_top_k,
+        op2_gru_toxicity,
+        op3_fourier_quality,
+        op6_mix_sources,
+        op7_simhash_decontamination,
+        op8_hash_tree_shards,
+        op9_byte_cnn_language,
+        op10_simhash_popcount_grid,
+    )
 }
 
 ORACLES: dict[str, str] = {
