@@ -30,6 +30,18 @@ def op3_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.llm.pii import detect
+
+    return detect(table(spark, sf_dir, "documents"))
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rivulet.llm.token_rollup import roll_up
+
+    return roll_up(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rivulet.llm.mixing import mix
 
@@ -69,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_nra_top_k,
         op2_gru_toxicity,
         op3_fourier_quality,
+        op4_skip_chain_pii,
+        op5_token_rollup,
         op6_mix_sources,
         op7_simhash_decontamination,
         op8_hash_tree_shards,
