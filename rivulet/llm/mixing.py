@@ -97,3 +97,11 @@ def mix(docs: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     return copies(sized, sized.count(), max_copies).select(
         "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("copies")).cast("long").alias("taken")
     )
+
+
+def take(docs: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+    """Each row of docs as often as the mix takes it, with all its columns."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", "text")
+    taken = copies(sizes(packed, "row"), docs.count(), max_copies).where("copies > 0")
+    emitted = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return emitted.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -71,31 +71,36 @@ def descend(df: DataFrame, key: Column, shards: tuple[Shard, ...], out: str) ->
     )
 
 
-def assign(docs: DataFrame, shards: tuple[Shard, ...], grown: tuple[Shard, ...] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs.
+def _slotted(docs: DataFrame, shards: tuple[Shard, ...], *keep: Column) -> DataFrame:
+    """keep, doc_id, key, size, text_crc32, shard, slot for each row of docs.
 
     Slots count a shard's rows from 0 along (hash of doc_id, doc_id, crc). They are made in slices of that hash: a
     count for each slice, running sums of the counts, and ranks within slices, so that no task holds a shard.
     """
     n = slices(docs.count())
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def placed(df: DataFrame) -> DataFrame:
         hashed = df.withColumns({"key": id_text(F.col("doc_id")), "h": hash52(id_text(F.col("doc_id")))})
         return descend(hashed, F.col("key"), shards, "shard").withColumn("slice", F.floor(F.col("h") / F.lit(float(HASH_RANGE)) * n).cast("int"))
 
-    counts = placed(ids.select("doc_id")).groupBy("shard", "slice").agg(F.count("*").alias("rows"))
+    counts = placed(docs.select("doc_id")).groupBy("shard", "slice").agg(F.count("*").alias("rows"))
     running = F.sum("rows").over(Window.partitionBy("shard").orderBy("slice")) - F.col("rows")
     before = counts.select("shard", "slice", running.alias("before"))
-    rows = placed(ids.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).cast("long").alias("text_crc32")))
-    rows = descend(rows, F.col("key"), grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
+    rows = placed(docs.select(*keep, "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32")))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "slice").orderBy("h", "doc_id", "text_crc32")))
-    return ranked.join(before, ["shard", "slice"]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("key").alias("law"),
-        F.col("shard").cast("int").alias("shard"),
-        (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"),
-        F.col("grown_shard").cast("int").alias("grown_shard"),
-    )
+    return ranked.join(before, ["shard", "slice"]).withColumns({"slot": (F.col("before") + F.col("rank") - 1).cast("long"), "shard": F.col("shard").cast("int")})
+
+
+def assign(docs: DataFrame, shards: tuple[Shard, ...], grown: tuple[Shard, ...] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null without a grown tree) for each row of docs."""
+    rows = _slotted(docs, shards)
+    rows = descend(rows, F.col("key"), grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", F.col("grown_shard").cast("int").alias("grown_shard"))
+
+
+def place(docs: DataFrame, shards: tuple[Shard, ...]) -> DataFrame:
+    """The columns of docs, and shard and slot (in place of columns of these names)."""
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = _slotted(docs, shards, F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in kept), "shard", "slot")

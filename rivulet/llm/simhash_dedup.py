@@ -122,18 +122,42 @@ def links(fps: DataFrame, cell_points: int = CELL) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def classes(fps: DataFrame, cell_points: int = CELL) -> DataFrame:
-    """Adds component_id to doc_id, fp; fps is read several times."""
+def _named(fps: DataFrame, cell_points: int) -> DataFrame:
+    """fp, root (the smallest fingerprint of its component), component_id for each fingerprint."""
     groups = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(groups.select("fp"), cell_points), "a", "b")
     rooted = checkpoint(groups.join(roots, groups.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     others = rooted.where("root <> fp").groupBy("root").agg(F.min("first").alias("other"))
     whole = checkpoint(rooted.where("root = fp").join(others, "root", "left").select("root", F.least("first", "other").alias("component_id")))
-    by_fp = checkpoint(rooted.select("fp", "root").join(whole, "root").select("fp", "component_id"))
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return checkpoint(rooted.select("fp", "root").join(whole, "root").select("fp", "root", "component_id"))
+
+
+def classes(fps: DataFrame, cell_points: int = CELL) -> DataFrame:
+    """Adds component_id to doc_id, fp; fps is read several times."""
+    return fps.join(_named(fps, cell_points).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of docs."""
     fps = checkpoint(fingerprints(docs, doc_id, text))
     return classes(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One row of each component, that of its smallest doc_id, with all its columns.
+
+    Of rows that repeat this doc_id any one stays; so does one row of a component without doc_ids.
+    """
+    fps = checkpoint(fingerprints(docs))
+    named = _named(fps, CELL)
+    kept = checkpoint(named.where("component_id IS NOT NULL").select("component_id").distinct())
+    repeated = checkpoint(fps.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    stays = docs.join(kept, docs.doc_id == kept.component_id, "left_semi")
+    if not repeated.isEmpty():
+        again = stays.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        stays = stays.join(repeated, "doc_id", "left_anti").union(again)
+    if not fps.where("doc_id IS NULL").isEmpty():
+        packed = docs.where("doc_id IS NULL").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+        nameless = fingerprints(packed, "row").withColumnRenamed("doc_id", "row").join(named.where("component_id IS NULL"), "fp")
+        stays = stays.union(nameless.dropDuplicates(["root"]).select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
+    return stays
