@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Fetch = Callable[[str], bytes]
 
@@ -39,7 +40,7 @@ def remote(urls: DataFrame, get: Fetch = fetch, url: str = "url") -> DataFrame:
                     errors.append(str(e))
             yield batch.assign(content=content, error=errors)
 
-    return urls.mapInPandas(run, urls.schema.add("content", "binary").add("error", "string"))
+    return urls.mapInPandas(run, T.StructType([*urls.schema.fields]).add("content", "binary").add("error", "string"))
 
 
 def stem(path: Column) -> Column:
@@ -76,4 +77,4 @@ def submit(jobs: DataFrame, post: Callable[[dict], dict], options: dict | None =
             replies = [post({"job_id": j, "file_url": u, **form}) for j, u in zip(batch["job_id"], batch["file_url"], strict=True)]
             yield batch.assign(check_url=[r.get("request_check_url") for r in replies])
 
-    return jobs.mapInPandas(run, jobs.schema.add("check_url", "string"))
+    return jobs.mapInPandas(run, T.StructType([*jobs.schema.fields]).add("check_url", "string"))

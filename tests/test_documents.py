@@ -1,0 +1,159 @@
+"""Pages, tiles, polling, sources and sinks."""
+
+import json
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rivulet.functions import tiles
+from rivulet.functions import vocabulary as v
+from rivulet.operators import pages
+from rivulet.sources import documents, listing, sinks
+from rivulet.sources.pages import anchors, listing_rows, listing_table
+from rivulet.streaming import poll
+
+PAGE = """<html><body><div class="box p-t-xs">
+<p class="i-b-d"><b>x</b><a class="t" href="/1.pdf"> Báo cáo <i>Hợp nhất</i> &amp; quý 1 năm {year}<br> 01/02/2025 10:00</a><a href="/no">n</a></p>
+<p class="i-b-d">no link</p><p class="other"><a href="/other">o</a></p>
+<p class="i-b-d"><span><a>no address</a></span></p></div><p class="i-b-d"><a href="/outside">z</a></p></body></html>"""
+
+
+def test_listing_rows():
+    rows = listing_rows(PAGE.replace("{year}", "2024"))
+    assert [(" ".join(t.split()), link) for t, link in rows] == [("Báo cáo Hợp nhất & quý 1 năm 2024 01/02/2025 10:00", "/1.pdf"), ("no address", None)]
+    assert listing_rows("") == listing_rows(None) == []
+
+
+def test_table_function_and_anchors(spark):
+    df = spark.createDataFrame([(1, PAGE), (2, None), (3, '<a href="/x"> t </a><a href="">e</a>')], "id int, html string")
+    df.createOrReplaceTempView("web")
+    spark.udtf.register("listing_rows", listing_table())
+    got = spark.sql("SELECT id, pos, link_raw FROM web, LATERAL listing_rows(html) ORDER BY id, pos").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "/1.pdf"), (1, 1, None)]
+    assert [tuple(r) for r in anchors(df.where("id = 3"), "id").orderBy("pos").collect()] == [(3, 0, "/x", "t"), (3, 1, "", "e")]
+
+
+def test_listing_source_pushes_filters_down(spark, tmp_path):
+    for code in ("FPT", "VCB"):
+        for year in (2023, 2024):
+            (tmp_path / f"{code}-{year}").write_text(PAGE.replace("{year}", str(year)), encoding="utf-8")
+    listing.register(spark)
+    df = spark.read.format("filing_listing").option("codes", "fpt, vcb,bad,fpt").option("years", "2023,2024").option("url", f"file://{tmp_path}/{{code}}-{{year}}").load()
+    rows = df.collect()
+    assert len(rows) == 2 * 2 * 2 + 2 and {(r.stock_code, r.status) for r in rows if r.status != "ok"} == {("BAD", "error")}
+    one = df.where("listing_year = 2024 AND stock_code = 'FPT'")
+    assert {(r.stock_code, r.listing_year) for r in one.collect()} == {("FPT", 2024)}
+    reader = listing.ListingReader({"codes": "a,b", "years": "1,2"})
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    left = list(reader.pushFilters([EqualTo(("listing_year",), 2), EqualTo(("stock_code",), "B"), GreaterThan(("pos",), 3)]))
+    assert [(p.code, p.year) for p in reader.partitions()] == [("B", 2)] and len(left) == 1
+
+
+def test_documents(spark, tmp_path):
+    (tmp_path / "a.b.pdf").write_bytes(b"one")
+    (tmp_path / "c").write_bytes(b"two")
+    files = documents.files(spark, str(tmp_path)).select(documents.stem(F.col("path")).alias("s"), documents.short_name(F.element_at(F.split("path", "/"), -1)).alias("n"), "content")
+    assert {(r.s, r.n, bytes(r.content)) for r in files.collect()} == {("a.b", "a", b"one"), ("c", "c", b"two")}
+    urls = spark.createDataFrame([(f"file://{tmp_path}/c",), (f"file://{tmp_path}/none",)], "url string")
+    got = documents.remote(urls).orderBy("url").collect()
+    assert bytes(got[0].content) == b"two" and got[0].error is None and got[1].content is None and got[1].error
+    jobs = spark.createDataFrame([("j1", "u1")], "job_id string, file_url string")
+    sent = documents.submit(jobs, lambda form: {"request_check_url": json.dumps(form)}, {"paginate": False}).first()
+    form = json.loads(sent.check_url)
+    assert form["job_id"] == "j1" and form["paginate"] is False and form["force_ocr"] is True
+
+
+def test_convert_assemble_split(spark):
+    docs = spark.createDataFrame([("d1", bytearray(b"p0|p1|p2")), ("d2", bytearray(b"q0"))], "doc string, content binary")
+
+    def model():
+        return lambda content: ((t, {f"{t}.png": t.encode()}) for t in content.decode().split("|"))
+
+    done = pages.convert(docs, model, "stub").cache()
+    plain = {r.doc: (r.n_pages, r.markdown) for r in pages.assemble(done, ["engine", "doc"], end="\n\n").collect()}
+    assert plain == {"d1": (3, "p0\n\np1\n\np2\n\n"), "d2": (1, "q0\n\n")}
+    marked = pages.assemble(done, ["doc"], paginate=True)
+    assert {r.doc: r.p for r in marked.select("doc", pages.split(F.col("markdown")).alias("p")).collect()} == {"d1": ["p0", "p1", "p2"], "d2": ["q0"]}
+    kept = spark.createDataFrame([("\n\n{0}-----\n\na\n{1}----b",), ("intro\n{0}----x",), ("none",), ("",), (None,)], "t string")
+    assert [r.p for r in kept.select(pages.split(F.col("t")).alias("p")).collect()] == [["a", "b"], ["intro", "x"], ["none"], [], None]
+
+
+def test_repeated_lines(spark):
+    rows = [("a\nb\na\n\nc\n\nb",), ("",), (None,), ("x",)]
+    got = spark.createDataFrame(rows, "t string").select(pages.drop_repeated_lines(F.col("t")).alias("t")).collect()
+    assert [r.t for r in got] == ["a\nb\n\nc", "", None, "x"]
+
+
+def fold(w, h, most, size=448):
+    """Nearest grid by a scan: nearer ones replace, equally near ones if the image more than half fills them."""
+    best, cell = float("inf"), (1, 1)
+    for i, j in tiles.cells(1, most):
+        away = abs(w / h - i / j)
+        if away < best or away == best and w * h > 0.5 * size * size * i * j:
+            best, cell = away, (i, j)
+    return cell
+
+
+def test_tiles(spark):
+    assert len(tiles.cells(1, 12)) == 35 and len(tiles.cells(1, 6)) == 14
+    assert {(r.i, r.j) for r in tiles.grid(spark, 2, 6).collect()} == set(tiles.cells(2, 6))
+    rng = random.Random(0)
+    sizes = [(448, 448), (896, 896), (1344, 1344), (1, 1), (2000, 100), (100, 2000)] + [(rng.randrange(1, 40) * 60, rng.randrange(1, 40) * 60) for _ in range(300)]
+    df = spark.createDataFrame(sizes, "w int, h int")
+    for most in (6, 12):
+        got = df.withColumn("c", tiles.closest(F.col("w"), F.col("h"), 1, most)).withColumn("b", tiles.boxes(F.col("c"))).collect()
+        for r in got:
+            i, j = r.c
+            assert (i, j) == fold(r.w, r.h, most)
+            want = [((k % i) * 448, k // i * 448, (k % i) * 448 + 448, k // i * 448 + 448, False) for k in range(i * j)]
+            assert [tuple(b) for b in r.b] == want + ([(0, 0, 448, 448, True)] if i * j > 1 else [])
+
+
+def test_pixels(spark):
+    raw = np.arange(2 * 2 * 3, dtype=np.uint8)
+    df = spark.createDataFrame([(bytearray(raw.tobytes()),), (None,)], "raw binary")
+    got = [r.x for r in df.select(tiles.normalise_pixels(2)("raw").alias("x")).collect()]
+    want = (raw.reshape(2, 2, 3) / 255 - tiles.COLOUR_MEAN) / tiles.COLOUR_DEVIATION
+    assert got[0] == pytest.approx(want.transpose(2, 0, 1).ravel().tolist(), abs=1e-5) and got[1] is None
+
+
+REPLIES = [("a", 1, "x"), ("a", 2, "processing"), ("a", 3, "complete"), ("a", 4, "failed"), ("b", 1, "processing"), ("b", 2, "failed"), ("c", 1, "x"), ("c", 2, "x"), ("c", 3, "x"), ("c", 4, "complete")]
+
+
+def test_polling_log(spark):
+    df = spark.createDataFrame([(*r, f"{r[0]}{r[1]}") for r in REPLIES], "job_id string, attempt int, status string, payload string")
+    got = {r.job_id: tuple(r)[1:] for r in poll.outcomes(df, "job_id", most=3).collect()}
+    assert got == {"a": ("complete", 3, "a3"), "b": ("failed", 2, "b2"), "c": (None, 3, None)}
+
+
+def test_polling_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    schema = "job_id string, status string, payload string"
+    for n, part in enumerate((REPLIES[:5], REPLIES[5:])):
+        spark.createDataFrame([(j, s, f"{j}{k}") for j, k, s in part], schema).coalesce(1).write.mode("append").json(str(source))
+        if not n:
+            out = poll.stream(spark.readStream.schema(schema).json(str(source)), most=3)
+            run = out.writeStream.outputMode("append").format("memory").queryName("jobs").option("checkpointLocation", str(tmp_path / "c")).start()
+        run.processAllAvailable()
+    run.stop()
+    got = {r.job_id: (r.status, r.attempts) for r in spark.table("jobs").collect()}
+    assert got == {"a": ("complete", 3), "b": ("failed", 2), "c": (None, 3)}
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("é", None)], "a string, b int")
+    sinks.json_rows(df, str(tmp_path / "j"))
+    written = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "j").glob("part-*"))
+    assert json.loads(written) == {"a": "é", "b": None} and "é" in written
+    docs = spark.createDataFrame([("m", "d", "x\ny")], "engine string, doc string, markdown string")
+    sinks.markdown(docs, str(tmp_path / "m"))
+    (part,) = (tmp_path / "m" / "engine=m" / "doc=d").glob("part-*")
+    assert part.read_text() == "x\ny\n"
+    shown = spark.createDataFrame([("d", {"i/a.png": bytearray(b"xyz")}), ("e", {})], "doc string, images map<string,binary>")
+    assert [tuple(r) for r in sinks.images(shown, str(tmp_path / "i")).collect()] == [("d", "i/a.png", 3)]
+    assert (tmp_path / "i/d/i/a.png").read_bytes() == b"xyz"
+    assert sinks.trace(df, "step").count() == 1
+    assert v.PERIODS and v.STATUSES
