@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ STRIDE = 8
 HIDDEN = 8
 WORD_SIZE, LEAST, SLOT_BITS = 6, 4, 18
 CHAR_BITS, CHAR_SIZE = 12, 6
-SAMPLE = 1500
-LONGEST = 32_768
+SAMPLE = 1200
+LONGEST = 16_384
 ROUNDS, EPOCHS, BATCH = 2, 4, 256
 THRESHOLD = 0.7
 
@@ -58,19 +59,23 @@ def read(part: tokens.Part) -> Inputs:
     data = tokens.LOWER[part.data]
     w = tokens.words(data, part.ends)
     # a trigram around each byte of a word, blanks beyond the word's ends
-    n = len(data)
-    inside = np.zeros(n + 2, bool)
     size = w.ends - w.starts
-    of = np.repeat(w.starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    inside[of + 1] = True
-    b = np.zeros(n + 2, np.uint32)
+    at = np.cumsum(size) - size
+    of = np.repeat((w.starts - at).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)
+    b = np.zeros(len(data) + 2, np.uint32)
     b[1:-1] = data
-    b[~inside] = 0
-    before = np.where(np.isin(of, w.starts), np.uint32(0), b[of])
-    after = np.where(np.isin(of, w.ends - 1), np.uint32(0), b[of + 2]) if len(of) else b[:0]
-    h = (before * np.uint32(961) + b[of + 1] * np.uint32(31) + after) * np.uint32(2654435761)
-    grams = (h >> np.uint32(32 - CHAR_BITS)).astype(np.int64)
-    return Inputs(w.hashes, grams, np.cumsum(size) - size, w.counts)
+    before, middle, after = b[of], b[1:][of], b[2:][of]
+    before[at] = 0
+    after[at + size - 1] = 0
+    before *= np.uint32(961)
+    middle *= np.uint32(31)
+    h = (before + middle + after) * np.uint32(2654435761)
+    return Inputs(w.hashes, (h >> np.uint32(32 - CHAR_BITS)).astype(np.uint16), at, w.counts)
+
+
+def joined(several: list[Inputs]) -> Inputs:
+    before = np.cumsum([0, *(len(x.grams) for x in several[:-1])])
+    return Inputs(*(np.concatenate([getattr(x, k) for x in several]) for k in ("hashes", "grams")), np.concatenate([x.at + n for x, n in zip(several, before, strict=True)]), np.concatenate([x.counts for x in several]))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -110,7 +115,7 @@ class Network:
         out = np.empty((WORD_SIZE + CHAR_SIZE, len(x.hashes)), np.float32)
         out[:WORD_SIZE] = self.p["word"].astype(np.float32, copy=False)[self.words(x.hashes)].T
         if len(x.hashes):
-            sums = np.add.reduceat(self.p["char"].astype(np.float32, copy=False)[x.grams], x.at, axis=0)
+            sums = np.add.reduceat(self.p["char"].astype(np.float32, copy=False).take(x.grams, axis=0), x.at, axis=0)
             out[WORD_SIZE:] = (sums / np.diff(np.append(x.at, len(x.grams)))[:, None]).T
         return out
 
@@ -166,6 +171,16 @@ def document_logits(net: Network, x: Inputs) -> np.ndarray:
     return out
 
 
+def _all_logits(net: Network, several: list[Inputs]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """logits() of several parts in turn, documents numbered through."""
+    before, out = 0, []
+    for x in several:
+        logit, doc, first = net.logits(x)
+        out.append((logit, doc + before, first))
+        before += len(x.counts)
+    return tuple(np.concatenate(a) for a in zip(*out, strict=True))
+
+
 def gradients(net: Network, word: np.ndarray, grams: list[np.ndarray], real: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Loss and its gradients over windows. word, real: WINDOW by windows; grams: trigram buckets of each cell, time first."""
     p, steps, n = net.p, WINDOW, len(y)
@@ -229,8 +244,8 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Network | None:
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(seed)
-    (part,) = tokens.parts(pa.array([t.encode() for t in texts], pa.large_binary()), 1 << 62)
-    x = read(part)
+    several = [read(part) for part in tokens.parts(pa.array([t.encode() for t in texts], pa.large_binary()))]
+    x = joined(several)
     doc = np.repeat(np.arange(len(y)), x.counts)
     head = np.cumsum(x.counts) - x.counts
     gram_end = np.append(x.at, len(x.grams))
@@ -260,7 +275,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Network | None:
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for turn in range(ROUNDS):
-        logit, owner, first = first_logits() if not turn else net.logits(x)
+        logit, owner, first = _all_logits(net.single(), several) if turn else first_logits()
         order = np.lexsort((-logit, owner))
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         # a text of label 1 without evidence so far may be mislabelled, and teaches nothing
@@ -276,6 +291,10 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Network | None:
                 at = head[owner[c]] + first[c] + np.arange(WINDOW)[:, None]
                 real = at < head[owner[c]] + x.counts[owner[c]]
                 at = np.where(real, at, 0)
+                # some clean windows become one word again and again from some place on, as junk texts have it
+                again = np.flatnonzero((target[batch] == 0) & (rng.random(len(c)) < 0.25))
+                place = np.minimum(np.arange(WINDOW)[:, None], rng.integers(0, WINDOW // 2, len(again)))
+                at[:, again], real[:, again] = at[place, again], real[place, again]
                 cells = [x.grams[gram_end[a] : gram_end[a + 1]] if r else x.grams[:0] for a, r in zip(at.ravel(), real.ravel(), strict=True)]
                 _, grads = gradients(net, word[at], cells, real, target[batch], weigh[batch] / len(batch))
                 for k, (m, v) in moments.items():
@@ -283,7 +302,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Network | None:
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     net.p[k] -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    final = document_logits(net.single(), x)
+    final = np.concatenate([document_logits(net.single(), part) for part in several])
     known = np.isfinite(final)
     net.slope, net.shift = _logistic(final[known], y[known])
     return net.single()
@@ -302,11 +321,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> Network | None:
     """docs: doc_id, text. labels: doc_id, toxic. The labelled texts are gathered by a join with the bounded sample."""
     marked = labels.select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic")).where(learnable & F.col("toxic").isin(0, 1) & F.col("labelled").isNotNull())
-    rows = []
-    for k in (0, 1):
-        some = bounded_sample(marked.where(F.col("toxic") == k), id_text(F.col("labelled")), sample)
-        found = docs.where(F.length("text").between(1, LONGEST)).join(F.broadcast(some), F.col("doc_id") == F.col("labelled"))
-        rows += found.select("text", "toxic").collect()
+    some = reduce(DataFrame.union, (bounded_sample(marked.where(F.col("toxic") == k), id_text(F.col("labelled")), sample) for k in (0, 1)))
+    rows = docs.where(F.length("text").between(1, LONGEST)).join(F.broadcast(some), F.col("doc_id") == F.col("labelled")).select("text", "toxic").collect()
     texts = {r["text"]: r["toxic"] for r in sorted(rows, key=lambda r: (r["text"], r["toxic"]))}
     return train(list(texts), list(texts.values()))
 
