@@ -25,9 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
+    """Cut the lineage in the shared folder.
+
+    A checkpoint keeps the constraints that its plan implies; over the rounds of a loop these multiply, so none are
+    inferred here.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def id_text(doc_id: Column) -> Column:
