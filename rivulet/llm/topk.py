@@ -13,9 +13,9 @@ has an upper bound that reaches the k-th of these (ties included); then, or at t
 candidates still possible are resolved by reading the rest of their lists. No candidate is ever left out on
 less than these bounds, so the result is exact however many rounds are made.
 
-Candidates and queries are packed into blocks of rows by a hash of vec_id; every pair of blocks is one row of a join
-on the block's number. It gives k rows for each query and block of candidates, of which the best k are kept. Memory is
-bounded by the two blocks, and no key can be hot.
+Candidates and queries are packed into blocks of rows by a hash of vec_id; every pair of blocks is a key of its own in a
+join of the blocks, so pairs are dealt out evenly. A pair gives k rows for each of its queries, of which the best k are
+kept. Memory is bounded by the two blocks and the bounds of PART queries.
 
 Defined cases: components become floor(scale * x); vectors that are null or hold null or non-finite components take
 no part; vectors of other lengths are as if filled up with zeros; rows that share vec_id and vector count once; a
@@ -36,9 +36,10 @@ from pyspark.sql.window import Window
 SCALE = 64
 K = 20
 QUERY_EVERY = 20
-#: Rows of a block of candidates and of one of queries.
+#: Rows of a block of candidates and of one of queries; queries whose bounds are held at a time.
 BLOCK = 8192
-QUERIES = 1024
+QUERIES = 4096
+PART = 512
 #: Shares of the lists read by the end of each round.
 DEPTHS = (0.3,)
 
@@ -103,7 +104,7 @@ def _pair(asked: pa.StructArray, rows: pa.StructArray, k: int) -> tuple[np.ndarr
         q, c = q.astype(np.float32), c.astype(np.float32)
     elif largest >= 2**53:
         q, c = (np.frompyfunc(int, 1, 1)(x) for x in (q, c))
-    found = list(nra(q, c, ids, query_ids[:, None] == ids, k))
+    found = [x for lo in range(0, len(q), PART) for x in nra(q[lo : lo + PART], c, ids, query_ids[lo : lo + PART, None] == ids, k)]
     return np.repeat(query_ids, [len(at) for at, _ in found]), ids[np.concatenate([at for at, _ in found])], np.concatenate([s for _, s in found]).astype(np.int64)
 
 
@@ -121,8 +122,10 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, scale: int
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n // (every * queries)))
     dealt = lambda df, m: df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int").alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
     candidates = dealt(rows, blocks).select("block", "rows", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("against"))
-    asked = dealt(rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0), query_blocks).select(F.col("block").alias("against"), F.col("rows").alias("asked"))
-    pairs = candidates.join(asked, "against")
+    asked = dealt(rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0), query_blocks).select(
+        F.col("block").alias("against"), F.col("rows").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    )
+    pairs = candidates.join(asked, ["against", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
