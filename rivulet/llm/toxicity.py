@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
-A word's input is its embedding beside the mean embedding of its characters' trigrams (by hash). Words met fewer than
+Words are runs of letters and figures. A word's input is its embedding beside the mean embedding of its characters' trigrams (by hash). Words met fewer than
 LEAST times in learning share one embedding, so they are known by their characters only. Windows of WINDOW words start
 at every STRIDE-th word of a text, the last one filled up with blank words: all of these overlapping windows are scored.
 In a window, two gated recurrent chains of HIDDEN units read forward and backward; attention weighs their states, and
@@ -41,9 +41,13 @@ WORD_SIZE, LEAST, SLOT_BITS = 6, 4, 18
 CHAR_BITS, CHAR_SIZE = 12, 6
 SAMPLE = 1200
 LONGEST = 16_384
-ROUNDS, EPOCHS, BATCH = 2, 4, 256
+#: Rounds of choosing windows; least passes over them and least steps in a round; windows in a step.
+ROUNDS, EPOCHS, STEPS, BATCH = 3, 3, 80, 256
 THRESHOLD = 0.7
 
+#: Bytes as words are made of them: A-Z in lower case, and blanks for ASCII characters that are no letter or figure.
+_PLAIN = np.array([b if chr(c).isalnum() or c > 127 else 32 for c, b in enumerate(tokens.LOWER)], np.uint8)
+
 
 @dataclass
 class Inputs:
@@ -56,7 +60,7 @@ class Inputs:
 
 
 def read(part: tokens.Part) -> Inputs:
-    data = tokens.LOWER[part.data]
+    data = _PLAIN[part.data]
     w = tokens.words(data, part.ends)
     # a trigram around each byte of a word, blanks beyond the word's ends
     size = w.ends - w.starts
@@ -279,14 +283,15 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Network | None:
         order = np.lexsort((-logit, owner))
         rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         # a text of label 1 without evidence so far may be mislabelled, and teaches nothing
-        chosen = order[np.where(y[owner[order]] == 1, (rank < 1) & (logit[order] > 0), rank < 2)]
+        chosen = order[np.where(y[owner[order]] == 1, (rank < 3) & (logit[order] > 0), rank < 2)]
         other = rng.permutation(np.flatnonzero(y[owner] == 0))[: len(y)]
         chosen = np.unique(np.concatenate((chosen, other)))
         target = y[owner[chosen]].astype(float)
         # both classes weigh the same
         weigh = np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum())) * len(target)
-        for _ in range(EPOCHS):
-            for batch in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // BATCH)):
+        batches = max(1, len(chosen) // BATCH)
+        for _ in range(max(EPOCHS, STEPS // batches)):
+            for batch in np.array_split(rng.permutation(len(chosen)), batches):
                 c, step = chosen[batch], step + 1
                 at = head[owner[c]] + first[c] + np.arange(WINDOW)[:, None]
                 real = at < head[owner[c]] + x.counts[owner[c]]
