@@ -6,7 +6,7 @@ import logging
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 log = logging.getLogger("rivulet")
@@ -52,12 +52,8 @@ def images(pages: DataFrame, path: str, get_writer=None) -> DataFrame:
     return each.mapInPandas(run, "doc string, image string, bytes long")
 
 
-def trace(df: DataFrame, step: str) -> DataFrame:
-    """The same rows; how many there were is observed under the step's name and logged when the query ends."""
-    from pyspark.sql import Observation
-
-    seen = Observation(step)
-    df.sparkSession.sparkContext  # the session must be up before it is observed
-    observed = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+def trace(df: DataFrame, step: str) -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation of how many there were, to be read once they have been computed."""
     log.info("step %s is planned", step)
-    return observed
+    seen = Observation(step)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

@@ -155,5 +155,6 @@ def test_sinks(spark, tmp_path):
     shown = spark.createDataFrame([("d", {"i/a.png": bytearray(b"xyz")}), ("e", {})], "doc string, images map<string,binary>")
     assert [tuple(r) for r in sinks.images(shown, str(tmp_path / "i")).collect()] == [("d", "i/a.png", 3)]
     assert (tmp_path / "i/d/i/a.png").read_bytes() == b"xyz"
-    assert sinks.trace(df, "step").count() == 1
+    traced, seen = sinks.trace(df, "step")
+    assert traced.collect() == df.collect() and seen.get == {"rows": 1}
     assert v.PERIODS and v.STATUSES
