@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.llm import resemblance
 from rivulet.llm.common import checkpoint
 from rivulet.llm.graph import components
 
@@ -122,10 +123,11 @@ def links(fps: DataFrame, cell_points: int = CELL) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def _named(fps: DataFrame, cell_points: int) -> DataFrame:
-    """fp, root (the smallest fingerprint of its component), component_id for each fingerprint."""
+def _named(fps: DataFrame, cell_points: int, more: DataFrame | None = None) -> DataFrame:
+    """fp, root (the smallest fingerprint of its component), component_id for each fingerprint. more: further links."""
     groups = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(groups.select("fp"), cell_points), "a", "b")
+    found = links(groups.select("fp"), cell_points)
+    roots = components(found.union(more) if more else found, "a", "b")
     rooted = checkpoint(groups.join(roots, groups.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     others = rooted.where("root <> fp").groupBy("root").agg(F.min("first").alias("other"))
     whole = checkpoint(rooted.where("root = fp").join(others, "root", "left").select("root", F.least("first", "other").alias("component_id")))
@@ -146,10 +148,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component, that of its smallest doc_id, with all its columns.
 
+    Besides near fingerprints, texts of similarity 0.8 or more over five-word shingles are linked (resemblance.py).
     Of rows that repeat this doc_id any one stays; so does one row of a component without doc_ids.
     """
     fps = checkpoint(fingerprints(docs))
-    named = _named(fps, CELL)
+    named = _named(fps, CELL, resemblance.links(docs, fps))
     kept = checkpoint(named.where("component_id IS NOT NULL").select("component_id").distinct())
     repeated = checkpoint(fps.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
     stays = docs.join(kept, docs.doc_id == kept.component_id, "left_semi")

@@ -141,3 +141,41 @@ def test_multi_index_finds_all_within_the_radius():
     distance = np.bitwise_count(fps[:, None] ^ own[None]).sum(2)
     for w in range(300):
         assert found[w] == {(int(of[j]), int(distance[w, j])) for j in np.flatnonzero(distance[w] <= 23)}
+
+
+def test_similar_texts_are_linked(spark):
+    rng = random.Random(6)
+    word = lambda: f"z{rng.randrange(2000)}"
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice([6, 30, 120, 300]))]
+        texts.append(base)
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rng.randrange(0, 1 + len(w) // 60)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(w)
+    big = [word() for _ in range(200)]
+    for k in range(60):  # a group with more members than are compared each with each
+        w = list(big)
+        w[rng.randrange(200)] = f"only{k}"
+        texts.append(w)
+    rows = [(i, " ".join(w), "en") for i, w in enumerate(texts)] + [(900, None, "en"), (901, "", "en"), (902, "a b", "en"), (903, "A  b", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sketch string")
+    words = [tuple((t or "").lower().split()) for _, t, _ in rows]
+    sets = [{w[i : i + 5] for i in range(len(w) - 4)} or {w} for w in words]
+    up = {i: i for i, _, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    prints = [brute_fingerprint(t or "") for _, t, _ in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = sorted((root(rows[a][0]), root(rows[b][0])))
+                up[y] = x
+    got = sorted(r.doc_id for r in sd.drop_near_copies(docs).collect())
+    assert got == sorted(i for i in up if root(i) == i)
