@@ -143,6 +143,26 @@ def test_multi_index_finds_all_within_the_radius():
         assert found[w] == {(int(of[j]), int(distance[w, j])) for j in np.flatnonzero(distance[w] <= 23)}
 
 
+def brute_groups(docs):
+    """Smallest doc of each doc's group by near fingerprints and by similarity. docs: (doc, text)."""
+    words = [tuple((t or "").lower().split()) for _, t in docs]
+    sets = [{w[i : i + 5] for i in range(len(w) - 4)} or {w} for w in words]
+    prints = [brute_fingerprint(t or "") for _, t in docs]
+    up = {i: i for i, _ in docs}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = sorted((root(docs[a][0]), root(docs[b][0])))
+                up[y] = x
+    return {i: root(i) for i in up}
+
+
 def test_similar_texts_are_linked(spark):
     rng = random.Random(6)
     word = lambda: f"z{rng.randrange(2000)}"
@@ -162,20 +182,5 @@ def test_similar_texts_are_linked(spark):
         texts.append(w)
     rows = [(i, " ".join(w), "en") for i, w in enumerate(texts)] + [(900, None, "en"), (901, "", "en"), (902, "a b", "en"), (903, "A  b", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sketch string")
-    words = [tuple((t or "").lower().split()) for _, t, _ in rows]
-    sets = [{w[i : i + 5] for i in range(len(w) - 4)} or {w} for w in words]
-    up = {i: i for i, _, _ in rows}
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    prints = [brute_fingerprint(t or "") for _, t, _ in rows]
-    for a in range(len(rows)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = sorted((root(rows[a][0]), root(rows[b][0])))
-                up[y] = x
-    got = sorted(r.doc_id for r in sd.drop_near_copies(docs).collect())
-    assert got == sorted(i for i in up if root(i) == i)
+    groups = brute_groups([(i, t) for i, t, _ in rows])
+    assert sorted(r.doc_id for r in sd.drop_near_copies(docs).collect()) == sorted(i for i in groups if groups[i] == i)

@@ -12,7 +12,7 @@ from rivulet.llm import toxicity
 from rivulet.llm.mixing import take
 from rivulet.llm.sharding import place, tree
 from rivulet.llm.simhash_dedup import drop_near_copies
-from tests.llm.test_near_copies import brute_components, brute_fingerprint, brute_matches
+from tests.llm.test_near_copies import brute_groups, brute_matches
 from tests.llm.test_search_and_shares import waterfill
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, row string, slot string"
@@ -98,7 +98,7 @@ def test_stages(spark, corpus):
     first.write.parquet(f"{path}/1")
     docs = spark.read.parquet(f"{path}/1")
     second = steps["near copies"](spark, docs, path)
-    groups = dict(brute_components([(d, brute_fingerprint(before[d].text or "")) for d in kept]))
+    groups = brute_groups([(d, before[d].text) for d in kept])
     kept = {d for d in kept if groups[d] == d}
     assert sorted(r.doc_id for r in second.collect()) == sorted(kept) and second.columns == docs.columns
 
