@@ -53,7 +53,7 @@ def short_name(name: Column) -> Column:
     return F.substring_index(name, ".", 1)
 
 
-#: What the conversion service is asked for.
+# What the conversion service is asked for.
 JOB_OPTIONS = {
     "force_ocr": True,
     "output_format": "markdown",
