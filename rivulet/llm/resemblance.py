@@ -4,10 +4,16 @@ A SimHash of 64 bits puts texts of similarity 0.8 about ten bits apart, too far
 are to be held apart by similarity itself, as in a deduplicating stage, these links go beside those of fingerprints.
 
 Each different text keeps the SKETCH smallest hashes of its shingles. Of two texts of similarity s, the KEYS smallest share
-none with a probability of about (1 - s) ** KEYS, one in 390,000 at 0.8. Texts that share a key are compared, with the key's pivot
-if it has more than PAIRS texts and else each with each, first by their sketches and then, exactly, by their whole sets
-of shingles. Pivots differ by key, so a large group of near copies is tied together through several of its members, at a
-cost in proportion to its size.
+none with a probability of about (1 - s) ** KEYS, one in 390,000 at 0.8. Up to PAIRS texts that share a key are compared each
+with each, first by their sketches and then, exactly, by their whole sets of shingles. More texts of a key, a crowd, are
+connected in two steps:
+
+* Each is compared with the crowd's pivot. Pivots differ by key, so most of a large group of near copies is tied
+  together through several of its members, at a cost in proportion to its size.
+* Where a crowd is then of several components, its texts outside the largest are compared with all that are of another.
+  Texts whose sketches overlap enough share one of the rarest hashes of their sketches (prefix filtering). Up to PAIRS
+  texts that share such a hash are compared each with each, so texts that only have a line in common cost little; texts
+  that more share are compared within their crowd by their whole sets, in pairs of blocks of about BLOCK shingles.
 """
 
 from __future__ import annotations
@@ -18,15 +24,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rivulet.llm import tokens
 from rivulet.llm.common import checkpoint
+from rivulet.llm.graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 KEYS, SKETCH, PAIRS = 8, 32, 16
 #: Pairs whose sketches overlap less are not compared further: five deviations below the similarity asked for.
 LEAST_OVERLAP = 0.45
+#: Shingles of a block of texts of a crowd.
+BLOCK = 1 << 19
+
+
+def _sequences(w: tokens.Words) -> np.ndarray:
+    """For each text, a hash of its whole sequence of words."""
+    heads = np.cumsum(w.counts) - w.counts
+    nth = (np.arange(len(w.hashes)) - np.repeat(heads, w.counts)).astype(np.uint64)
+    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens.mixed(w.hashes + np.uint64(0x9E3779B9) * nth))))
+    return tokens.mixed(running[heads + w.counts] - running[heads]).view(np.int64)
+
+
+def wholes(column: pa.Array) -> np.ndarray:
+    """Equal numbers for texts of equal words in equal order."""
+    found = [_sequences(tokens.words(tokens.LOWER[part.data], part.ends)) for part in tokens.parts(column)]
+    return np.concatenate([np.zeros(0, np.int64), *found])
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
@@ -40,10 +64,7 @@ def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
         once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
         h, doc = h[once], doc[once]
         ends = np.searchsorted(doc, np.arange(len(part.ends)), side="right")
-        heads = np.cumsum(w.counts) - w.counts
-        nth = (np.arange(len(w.hashes)) - np.repeat(heads, w.counts)).astype(np.uint64)
-        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens.mixed(w.hashes + np.uint64(0x9E3779B9) * nth))))
-        whole = tokens.mixed(running[heads + w.counts] - running[heads]).view(np.int64)
+        whole = _sequences(w)
         signed = h.view(np.int64)
         for k, (lo, hi) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
             # fewer words than a shingle: the sequence itself
@@ -61,36 +82,117 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "whole", "sketch"])
 
 
-def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists([s for s, _ in _sets(batch.column(1))])], names=["id", "shingles"])
+        found = list(_sets(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([pa.array([w for _, w in found], pa.int64()), _lists([s for s, _ in found])], names=["id", "shingles"])
+
+
+def _matches(group: pa.Table) -> pa.Table:
+    """a, b: each text of the rest with one similar text of each other component among the others of its crowd."""
+    group = group.combine_chunks()
+    ids, root, rest = (np.asarray(group.column(c)) for c in ("id", "root", "rest"))
+    lists = group.column("shingles").combine_chunks()
+    sizes = np.asarray(lists.value_lengths(), np.int64)
+    ends = np.cumsum(sizes)
+    known, place = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    others = np.flatnonzero(~rest)
+    theirs = place[np.repeat(~rest, sizes)]
+    size, first = sizes[others], np.cumsum(sizes[others]) - sizes[others]
+    mine, a, b = np.zeros(len(known), np.int32), [], []
+    for x in np.flatnonzero(rest) if len(others) else ():
+        own = place[ends[x] - sizes[x] : ends[x]]
+        mine[own] = 1
+        same = np.add.reduceat(mine[theirs], first)
+        mine[own] = 0
+        near = others[(same >= SIMILARITY * (sizes[x] + size - same)) & (root[others] != root[x])]
+        near = near[np.unique(root[near], return_index=True)[1]]
+        a.append(np.repeat(ids[x], len(near)))
+        b.append(ids[near])
+    return pa.table({k: np.concatenate([np.zeros(0, np.int64), *v]) for k, v in (("a", a), ("b", b))})
+
+
+def _of(df: DataFrame, side: str, what: str) -> DataFrame:
+    return df.select(F.col("id").alias(side), F.col(what).alias(f"{what}_{side}"))
+
+
+def _pairs(rows: DataFrame, key: str, kept: str = "true") -> DataFrame:
+    """a, b: the pairs of rows of a key, of which kept is true."""
+    l, r = rows.alias("l"), rows.alias("r")
+    return l.join(r, (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l.id") < F.col("r.id")) & F.expr(kept)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+
+class _Texts:
+    """Different texts, named by their wholes: id, doc_id (the smallest), sketch."""
+
+    def __init__(self, docs: DataFrame):
+        self.binary = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+        named = self.binary.mapInArrow(_sketches, f"doc_id {self.binary.schema['doc_id'].dataType.simpleString()}, whole long, sketch array<long>")
+        self.all = checkpoint(named.groupBy(F.col("whole").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")))
+        self.nameless = not self.all.where("doc_id IS NULL").isEmpty()
+
+    def sets(self, asked: DataFrame) -> DataFrame:
+        """id, shingles for the asked ids."""
+        which = checkpoint(self.all.join(asked, "id", "left_semi").select("id", "doc_id"))
+        rows = self.binary.join(which.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
+        if self.nameless:
+            rows = rows.union(self.binary.where("doc_id IS NULL"))
+        return checkpoint(rows.mapInArrow(_whole_sets, "id long, shingles array<long>").join(which, "id", "left_semi").dropDuplicates(["id"]))
+
+    def similar(self, pairs: DataFrame, besides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The pairs a, b of enough similarity, and the sets of their texts and of the ids besides."""
+        near = pairs.join(_of(self.all, "a", "sketch"), "a").join(_of(self.all, "b", "sketch"), "b")
+        shared = F.size(F.array_intersect("sketch_a", "sketch_b")) / F.least(F.size("sketch_a"), F.size("sketch_b"))
+        likely = checkpoint(near.where(shared >= LEAST_OVERLAP).select("a", "b"))
+        asked = likely.select(F.explode(F.array("a", "b")).alias("id"))
+        sets = self.sets((asked.union(besides) if besides else asked).distinct())
+        same = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        exact = likely.join(_of(sets, "a", "shingles"), "a").join(_of(sets, "b", "shingles"), "b")
+        return checkpoint(exact.where(same >= SIMILARITY * (F.size("shingles_a") + F.size("shingles_b") - same)).select("a", "b")), sets
+
+
+def _crowded(texts: _Texts, crowds: DataFrame, linked: DataFrame) -> DataFrame | None:
+    """a, b: the links that crowds (key, id) lack to be connected as far as their texts are similar; None: no link."""
+    roots = components(linked, "a", "b", 2)  # roots that are not yet one only cost comparisons
+    rooted = checkpoint(crowds.join(roots, crowds.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    parts = rooted.groupBy("key", "root").count().groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "root")).alias("most"))
+    several = checkpoint(parts.where("parts > 1").select("key", F.col("most.root").alias("main")))
+    if several.isEmpty():
+        return None
+    split = checkpoint(rooted.join(several, "key").select("key", "id", "root", (F.col("root") != F.col("main")).alias("rest")))
+    hashes = split.select("id", "root").distinct().join(texts.all, "id").select("id", "root", F.size("sketch").alias("size"), F.explode("sketch").alias("h"))
+    hashes = checkpoint(hashes)
+    common = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    mine = Window.partitionBy("id")
+    nth = F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("n", "h"))  # hashes of one text come first
+    # sketches of similar texts differ in size by no more than the texts do
+    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(LEAST_OVERLAP * SIMILARITY)) + 1
+    rare = checkpoint(hashes.join(common, "h").withColumn("nth", nth).where(F.col("nth") <= prefix).select("id", "root", "h"))
+    lists = rare.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "n")
+    shared = checkpoint(rare.join(lists, "h"))
+    many = shared.where(F.col("n") > PAIRS).select("id").distinct()
+    found, sets = texts.similar(_pairs(shared.where(F.col("n") <= PAIRS), "h", "l.root <> r.root").distinct(), many)
+    sizes = sets.join(many, "id", "left_semi").select("id", F.size("shingles").alias("size"))
+    members = checkpoint(split.join(sizes, "id"))
+    blocks = members.groupBy("key").agg(F.sum("size").alias("whole"), F.sum(F.when(F.col("rest"), F.col("size"))).alias("part")).where("part IS NOT NULL")
+    count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    dealt = members.join(blocks.select("key", count("whole").alias("across"), count("part").alias("down")), "key")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = dealt.where("rest").select("key", "id", "root", F.lit(True).alias("rest"), block("down").alias("i"), each("across").alias("j"))
+    others = dealt.select("key", "id", "root", F.lit(False).alias("rest"), each("down").alias("i"), block("across").alias("j"))
+    return found.union(rest.union(others).join(sets, "id").groupBy("key", "i", "j").applyInArrow(_matches, "a long, b long").distinct())
 
 
 def links(docs: DataFrame, fps: DataFrame) -> DataFrame:
-    """a, b: fingerprints of texts of enough similarity. docs: doc_id, text; fps: doc_id, fp.
-
-    Rows without doc_id take no part. Of equal texts the smallest doc_id stands for all.
-    """
-    binary = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    kind = binary.schema["doc_id"].dataType.simpleString()
-    named = binary.mapInArrow(_sketches, f"doc_id {kind}, whole long, sketch array<long>")
-    texts = checkpoint(named.groupBy("whole").agg(F.min(F.struct("doc_id", "sketch")).alias("t")).select("t.doc_id", "t.sketch"))
-    keys = texts.select("doc_id", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
-    lists = checkpoint(keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "doc_id"), "doc_id")).alias("p")).where("n > 1").select("key", "n", F.col("p.doc_id").alias("pivot")))
+    """a, b: fingerprints of texts of enough similarity. docs: doc_id, text; fps: whole, fp."""
+    texts = _Texts(docs)
+    keys = texts.all.select("id", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
+    lists = checkpoint(keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "id"), "id")).alias("p")).where("n > 1").select("key", "n", F.col("p.id").alias("pivot")))
     met = checkpoint(keys.join(lists, "key"))
-    small = met.where(F.col("n") <= PAIRS).select("key", "doc_id")
-    l, r = small.alias("l"), small.alias("r")
-    pairs = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.doc_id") < F.col("r.doc_id"))).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
-    stars = met.where((F.col("n") > PAIRS) & (F.col("pivot") != F.col("doc_id"))).select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b"))
-    both = checkpoint(pairs.union(stars).distinct())
-    of = lambda df, side, what: df.select(F.col(df.columns[0]).alias(side), F.col(what).alias(f"{what}_{side}"))
-    near = both.join(of(texts, "a", "sketch"), "a").join(of(texts, "b", "sketch"), "b")
-    shared = F.size(F.array_intersect("sketch_a", "sketch_b")) / F.least(F.size("sketch_a"), F.size("sketch_b"))
-    likely = checkpoint(near.where(shared >= LEAST_OVERLAP).select("a", "b"))
-    asked = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wholes = checkpoint(binary.join(asked, binary.doc_id == asked.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_wholes, f"id {kind}, shingles array<long>"))
-    same = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    exact = likely.join(of(wholes, "a", "shingles"), "a").join(of(wholes, "b", "shingles"), "b")
-    linked = exact.where(same >= SIMILARITY * (F.size("shingles_a") + F.size("shingles_b") - same)).select("a", "b")
-    first = fps.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("fp"))
-    return linked.join(of(first, "a", "fp"), "a").join(of(first, "b", "fp"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    stars = met.where((F.col("n") > PAIRS) & (F.col("pivot") != F.col("id"))).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+    linked, _ = texts.similar(checkpoint(_pairs(met.where(F.col("n") <= PAIRS), "key").union(stars).distinct()))
+    more = _crowded(texts, met.where(F.col("n") > PAIRS).select("key", "id"), linked)
+    linked = linked.union(more) if more else linked
+    first = fps.groupBy(F.col("whole").alias("id")).agg(F.min("fp").alias("fp"))
+    return linked.join(_of(first, "a", "fp"), "a").join(_of(first, "b", "fp"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))

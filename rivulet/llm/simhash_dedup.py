@@ -82,6 +82,12 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(_fingerprints, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def _with_wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = next(_fingerprints(iter((batch,))))
+        yield pa.RecordBatch.from_arrays([*fps.columns, pa.array(resemblance.wholes(batch.column(1)))], names=["doc_id", "fp", "whole"])
+
+
 def embed(fp: Column) -> Column:
     """Ones of each two-bit segment in unary: 00, 01, 11. The xor of two codes has as many ones as their distance."""
     low, high = fp.bitwiseAND(F.lit(0x5555555555555555)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(0x5555555555555555))
@@ -151,7 +157,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Besides near fingerprints, texts of similarity 0.8 or more over five-word shingles are linked (resemblance.py).
     Of rows that repeat this doc_id any one stays; so does one row of a component without doc_ids.
     """
-    fps = checkpoint(fingerprints(docs))
+    rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    fps = checkpoint(rows.mapInArrow(_with_wholes, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, whole long"))
     named = _named(fps, CELL, resemblance.links(docs, fps))
     kept = checkpoint(named.where("component_id IS NOT NULL").select("component_id").distinct())
     repeated = checkpoint(fps.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
+from rivulet.llm import resemblance
 from rivulet.llm import simhash_dedup as sd
 from rivulet.llm.decontamination import Index, drop_contaminated, find, shingles, similarity
 from rivulet.llm.graph import components
@@ -184,3 +185,24 @@ def test_similar_texts_are_linked(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, sketch string")
     groups = brute_groups([(i, t) for i, t, _ in rows])
     assert sorted(r.doc_id for r in sd.drop_near_copies(docs).collect()) == sorted(i for i in groups if groups[i] == i)
+
+
+def test_crowds_are_linked_as_far_as_they_are_similar(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = []
+    for size, most in ((17, 4), (100, 4), (300, 4), (120, 2)):
+        base = [f"b{size}x{k}" for k in range(200)]
+        for k in range(size):
+            w = list(base)
+            for at in rng.sample(range(200), rng.randrange(1, 1 + most)):
+                w[at] = f"own{size}x{k}x{at}"
+            texts.append(w)
+    line = [f"line{k}" for k in range(12)]
+    texts += [line + [f"short{k}x{j}" for j in range(8)] for k in range(40)]  # alike in one line only
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    groups = brute_groups([(i, " ".join(w)) for i, w in enumerate(texts)])
+    want = sorted(i for i in groups if groups[i] == i)
+    assert sorted(r.doc_id for r in sd.drop_near_copies(docs).collect()) == want
+    monkeypatch.setattr(resemblance, "BLOCK", 5000)
+    assert sorted(r.doc_id for r in sd.drop_near_copies(docs).collect()) == want
