@@ -152,10 +152,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of its smallest doc_id, with all its columns.
+    """One row of each component, one of its smallest doc_id, with all its columns.
 
     Besides near fingerprints, texts of similarity 0.8 or more over five-word shingles are linked (resemblance.py).
-    Of rows that repeat this doc_id any one stays; so does one row of a component without doc_ids.
+    Rows that share a doc_id belong each to the component of its own text: of those in one component any one stays if the
+    doc_id is its smallest. So does one row of a component without doc_ids.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
     fps = checkpoint(rows.mapInArrow(_with_wholes, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, whole long"))
@@ -163,11 +164,15 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     kept = checkpoint(named.where("component_id IS NOT NULL").select("component_id").distinct())
     repeated = checkpoint(fps.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
     stays = docs.join(kept, docs.doc_id == kept.component_id, "left_semi")
+
+    def one_each(rows: DataFrame) -> DataFrame:
+        packed = rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+        of = fingerprints(packed, "row").withColumnRenamed("doc_id", "row").join(named, "fp").where(F.col("component_id").eqNullSafe(F.col("row.doc_id")))
+        return of.dropDuplicates(["root"]).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
     if not repeated.isEmpty():
-        again = stays.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        stays = stays.join(repeated, "doc_id", "left_anti").union(again)
+        again = stays.join(repeated, "doc_id", "left_semi")
+        stays = stays.join(repeated, "doc_id", "left_anti").union(one_each(again.select(*docs.columns)))
     if not fps.where("doc_id IS NULL").isEmpty():
-        packed = docs.where("doc_id IS NULL").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-        nameless = fingerprints(packed, "row").withColumnRenamed("doc_id", "row").join(named.where("component_id IS NULL"), "fp")
-        stays = stays.union(nameless.dropDuplicates(["root"]).select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
+        stays = stays.union(one_each(docs.where("doc_id IS NULL")))
     return stays

@@ -206,3 +206,15 @@ def test_crowds_are_linked_as_far_as_they_are_similar(spark, monkeypatch):
     assert sorted(r.doc_id for r in sd.drop_near_copies(docs).collect()) == want
     monkeypatch.setattr(resemblance, "BLOCK", 5000)
     assert sorted(r.doc_id for r in sd.drop_near_copies(docs).collect()) == want
+
+
+def test_rows_that_share_or_lack_a_doc_id_count_by_their_texts(spark):
+    text = lambda name, *changed: " ".join(f"new{k}" if k in changed else f"{name}{k}" for k in range(200))
+    rows = [
+        (1, text("a")), (5, text("a", 3)), (5, text("b")), (5, text("b")),  # one is a near copy of 1, two stand alone
+        (7, text("c")), (7, text("d")),  # two texts under one doc_id
+        (None, text("e", 9)), (8, text("e")), (None, text("f")), (None, text("f", 50, 120)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text.split()[0]) for r in sd.drop_near_copies(docs).collect())
+    assert got == [(0, "f0"), (1, "a0"), (5, "b0"), (7, "c0"), (7, "d0"), (8, "e0")]
