@@ -1,7 +1,8 @@
 """A data source for filing listings: spark.read.format("filing_listing").
 
 Options: codes (comma-separated), years (comma-separated, empty: the whole listing), url (a template with {code} and
-{year}; file and http addresses work) and timeout in seconds. One partition reads one code and year. A filter on
+{year}; file and http addresses work) and timeout in seconds. Years need a url with {year}: without it every year would
+read the same page, so the source refuses them. One partition reads one code and year. A filter on
 listing_year or stock_code is pushed down, so other pages are not read. A page that cannot be read yields one row
 with status timeout or error, and the query goes on.
 """
@@ -71,7 +72,10 @@ class ListingSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> ListingReader:
-        return ListingReader(self.options)
+        reader = ListingReader(self.options)
+        if reader.years != [None] and "{year}" not in reader.url:
+            raise ValueError(f"years need a url with {{year}}, which {reader.url} lacks")
+        return reader
 
 
 def register(spark) -> None:

@@ -158,3 +158,14 @@ def test_sinks(spark, tmp_path):
     traced, seen = sinks.trace(df, "step")
     assert traced.collect() == df.collect() and seen.get == {"rows": 1}
     assert v.PERIODS and v.STATUSES
+
+
+def test_years_need_a_url_that_names_them():
+    import pytest
+
+    for options in ({"codes": "aaa", "years": "2024"}, {"codes": "aaa", "years": "2024,2023", "url": "file:///x/{code}.html"}):
+        with pytest.raises(ValueError, match="year"):
+            listing.ListingSource(options).reader(None)
+    assert len(listing.ListingSource({"codes": "aaa"}).reader(None).partitions()) == 1
+    named = {"codes": "aaa", "years": "2024,2023", "url": "file:///x/{code}-{year}.html"}
+    assert len(listing.ListingSource(named).reader(None).partitions()) == 2
