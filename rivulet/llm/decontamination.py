@@ -4,28 +4,29 @@ A document is contaminated by a benchmark item of n words if a window of n of it
 has a weighted similarity of 0.8 or more with it: over five-word shingles weighted by their number, the sum of the
 smaller weights divided by the sum of the larger. Texts of fewer than five words are one shingle.
 
-1. Windows. A window can only be similar to an item if enough of its shingles occur in the item; a table of the items'
-   shingle hashes marks these in a pass over all words, and a window is kept if it holds as many marked shingles as
-   the threshold requires at least (a bound that no similar window misses).
-2. Fingerprints. Each kept window gets a 64-bit SimHash of its shingles, from running sums of their hash bits.
-3. Multi-index. The fingerprint's eight bytes are looked up in eight tables, which hold, for each value of a byte, the
-   items of the window's size whose byte differs in two bits at most. Of two fingerprints within RADIUS = 23 bits, some
-   byte differs in two bits at most, so all items within the radius are found; the others go by their full distance.
-   Similarity 0.8 means a cosine of 0.89 and so 9.7 differing bits on average, with deviation 2.9: the radius lies
-   more than 4.5 deviations above.
-4. Verdict. The exact similarity, from the words themselves.
-
-Items are held in memory in blocks of at most BLOCK_WORDS words, one pass over the documents for each, so what is
-broadcast is bounded. The documents are not shuffled.
+1. Windows. Each window of each size that items have gets a 64-bit SimHash of its shingles, from running sums of their
+   hash bits. Windows are passed over (`skip`) if fewer of their shingles occur in any item at all than a similar window
+   would share with one: this knows no items, misses no similar window, and changes no result but the time.
+2. Multi-index. The fingerprint's eight bytes are looked up in eight tables: the items of the window's size in order of
+   a byte's value, each also under the values that differ from its byte in two bits at most. Of two fingerprints within
+   RADIUS = 23 bits, some byte differs in two bits at most, so all items within the radius are found; the others that
+   share an entry go by their full distance. Similarity 0.8 means a cosine of 0.89 and so 9.7 differing bits on average,
+   with deviation 2.9: the radius lies more than 4.5 deviations above.
+3. Verdict. The exact similarity, from the words themselves, of the window and each item that the index gives.
+
+Different items are held in memory in blocks of about BLOCK_WORDS words, one pass over the documents for each, so what
+is broadcast is bounded. The documents are not shuffled.
 
 Defined cases: null and empty texts, and items of no words, match nothing; letters A-Z count as lower case; repeated
-rows match each; an empty table of either kind gives an empty result; of equally similar windows the first counts.
+rows match each, repeated items once; an empty table of either kind gives an empty result; of equally similar windows the
+first counts.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -38,9 +39,11 @@ from rivulet.llm import tokens
 SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 23
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
+_WINDOWS = 1 << 13
 
-_BITS = np.array([int(i).bit_count() for i in range(256)], np.uint8)
+#: The byte values that differ from 0 in as many bits as a block of fingerprints within the radius may.
+_NEAR = np.array([i for i in range(256) if i.bit_count() <= RADIUS // 8], np.uint8)
 
 
 def shingles(words: list[bytes]) -> Counter:
@@ -64,54 +67,61 @@ def _simhash(ones: np.ndarray, n: np.ndarray | int) -> np.ndarray:
     return np.packbits(ones * 2 > np.reshape(n, (-1, 1)), axis=1, bitorder="little")
 
 
+@dataclass
+class Table:
+    """The items of a size: their places, fingerprints, and for each byte the items by value, from starts on."""
+
+    items: np.ndarray
+    fps: np.ndarray
+    starts: np.ndarray
+    entries: np.ndarray
+
+    @staticmethod
+    def of(items: np.ndarray, fps: np.ndarray) -> Table:
+        """fps: a row of eight bytes for each item."""
+        values = (fps.T[:, :, None] ^ _NEAR).reshape(8, -1)
+        order = np.argsort(values, axis=1, kind="stable")
+        starts = np.array([np.searchsorted(v[o], np.arange(257)) for v, o in zip(values, order, strict=True)])
+        return Table(items, np.ascontiguousarray(fps).view(np.uint64).ravel(), starts, order // len(_NEAR))
+
+    def near(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """window, item, distance for all items within RADIUS of a window's fingerprint."""
+        pairs = []
+        for k in range(8):
+            lo, hi = self.starts[k, fps[:, k]], self.starts[k, fps[:, k].astype(np.int64) + 1]
+            times = hi - lo
+            window = np.repeat(np.arange(len(fps)), times)
+            entry = np.arange(len(window)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
+            pairs.append(window * len(self.items) + self.entries[k, entry])
+        window, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
+        distance = np.bitwise_count(np.ascontiguousarray(fps).view(np.uint64).ravel()[window] ^ self.fps[item])
+        at = np.flatnonzero(distance <= RADIUS)
+        return window[at], self.items[item[at]], distance[at]
+
+
 class Index:
-    """Items by shingle hash, and by size and fingerprint byte."""
+    """Items by size and fingerprint byte."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
-        self.threshold = threshold
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, skip: bool = True):
+        self.threshold, self.skip = threshold, skip
         self.ids: list[int] = []
         self.weights: list[Counter] = []
-        sizes, rows = [], []
+        of_size, hashes = defaultdict(list), defaultdict(list)
         for item_id, text in items:
             data = tokens.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
             w = tokens.words(data, np.array([len(data)]))
-            if not len(w.starts):
+            n = len(w.starts)
+            if not n:
                 continue
             raw = data.tobytes()
-            self.weights.append(shingles([raw[s:e] for s, e in zip(w.starts, w.ends, strict=True)]))
-            h, _ = tokens.grams(w, min(SHINGLE, len(w.starts)))
-            rows.append((np.unique(h), _simhash(_bits(h).sum(0, keepdims=True), len(h))[0]))
+            h, _ = tokens.grams(w, min(SHINGLE, n))
+            hashes[min(SHINGLE, n)].append(np.unique(h))
+            of_size[n].append((len(self.ids), _simhash(_bits(h).sum(0, keepdims=True), len(h))[0]))
             self.ids.append(item_id)
-            sizes.append(len(w.starts))
-        self.sizes = np.array(sizes, np.int64)
-        fps = np.array([fp for _, fp in rows], np.uint8).reshape(-1, 8)
-        # pairs (hash, item) sorted by hash, for each length of a shingle: short items have shorter ones
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size in sorted({min(SHINGLE, s) for s in sizes}):
-            of = [i for i, s in enumerate(sizes) if min(SHINGLE, s) == size]
-            h = np.concatenate([rows[i][0] for i in of])
-            item = np.repeat(of, [len(rows[i][0]) for i in of])
-            order = np.argsort(h, kind="stable")
-            marked = np.zeros(1 << 20, bool)
-            marked[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.tables[size] = h[order], item[order], marked
-        #: by size: its items, their fingerprints, and for each byte and value the items with a near byte
-        self.blocks = {}
-        for size in set(sizes):
-            of = np.flatnonzero(self.sizes == size)
-            near = _BITS[np.arange(256, dtype=np.uint8)[None, :, None] ^ fps[of].T[:, None, :]] <= RADIUS // 8
-            self.blocks[size] = of, fps[of], near
-
-    def near(self, size: int, fps: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """window, item, distance for all items of this size within RADIUS of a window's fingerprint."""
-        of, own, near = self.blocks[size]
-        found = np.zeros((len(fps), len(of)), bool)
-        for k in range(8):
-            found |= near[k][fps[:, k]]
-        window, item = np.nonzero(found)
-        distance = _BITS[fps[window] ^ own[item]].sum(1, dtype=np.int64)
-        for i in np.flatnonzero(distance <= RADIUS):
-            yield int(window[i]), int(of[item[i]]), int(distance[i])
+            self.weights.append(shingles([raw[s:e] for s, e in zip(w.starts, w.ends, strict=True)]))
+        #: by size of a shingle: the shingles of all items, in order
+        self.shingles = {length: np.unique(np.concatenate(h)) for length, h in hashes.items()}
+        self.tables = {n: Table.of(np.array([i for i, _ in own]), np.array([fp for _, fp in own], np.uint8)) for n, own in of_size.items()}
 
     def matches(self, part: tokens.Part) -> list[tuple[int, int, int, int, float, int]]:
         """document (its place in the part), item, first word, words, similarity, distance: the best window of each pair."""
@@ -119,60 +129,75 @@ class Index:
         w = tokens.words(data, part.ends)
         heads = np.cumsum(w.counts) - w.counts
         best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-        for length, (hashes, items, marked) in self.tables.items():
+        for length, own in self.shingles.items():
             h, at = tokens.grams(w, length)
-            some = np.flatnonzero(marked[(h >> np.uint64(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(hashes, h[some], "left"), np.searchsorted(hashes, h[some], "right")
-            times = hi - lo
-            if not times.sum():
+            if not len(h):
                 continue
-            place = np.repeat(at[some], times)
-            item = items[np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-            windows = self._windows(w, heads, length, place, item)
-            gram_at = np.full(len(w.hashes), -1, np.int64)
-            gram_at[at] = np.arange(len(at))
-            for size, spans in windows.items():
-                pairs = sorted(spans)
-                fps = np.concatenate([_simhash(_bits(h[gram_at[s] : gram_at[e - length] + 1]).sum(0, keepdims=True), e - length + 1 - s) for s, e in pairs])
-                for k, i, distance in self.near(size, fps):
-                    s, e = pairs[k]
+            place = np.searchsorted(own, h)
+            known = own[np.minimum(place, len(own) - 1)] == h
+            for size, first, count, fps in self._windows(h, w.doc[at], known, length):
+                for k, i, distance in zip(*self.tables[size].near(fps), strict=True):
+                    s = int(at[first[k]])
+                    e = s + int(count[k]) + length - 1
                     words = [data[a:b].tobytes() for a, b in zip(w.starts[s:e], w.ends[s:e], strict=True)]
                     if (sim := similarity(shingles(words), self.weights[i])) >= self.threshold:
                         doc = int(w.doc[s])
-                        now = (sim, -(s - int(heads[doc])), e - s, distance)
+                        now = (sim, -(s - int(heads[doc])), e - s, int(distance))
                         best[doc, i] = max(now, best.get((doc, i), now))
         return [(doc, self.ids[i], -first, n, sim, distance) for (doc, i), (sim, first, n, distance) in sorted(best.items())]
 
-    def _windows(self, w: tokens.Words, heads: np.ndarray, length: int, place: np.ndarray, item: np.ndarray) -> dict[int, set[tuple[int, int]]]:
-        """By item size: first and end word of each window with as many marked shingles as the threshold requires."""
-        out: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        doc = w.doc[place]
-        order = np.lexsort((place, item, doc))
-        place, item, doc = place[order], item[order], doc[order]
-        cut = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])])
-        for a, b in zip(cut, np.r_[cut[1:], len(place)], strict=True):
-            size, d = int(self.sizes[item[a]]), doc[a]
-            first, end = int(heads[d]), int(heads[d] + w.counts[d])
-            n = min(size, end - first)
-            grams = n - length + 1
-            # c shared of grams and size - length + 1 shingles: c / (both - c) >= threshold
-            need = int(np.ceil(self.threshold / (1 + self.threshold) * (grams + size - length + 1) - 1e-9))
-            if b - a < need:
-                continue
-            at = place[a:b]
-            lasts = at[need - 1 :]
-            # windows that hold at[i] and at[i + need - 1] hold need marked ones
-            for low, high in zip(lasts - (grams - 1), at[: len(lasts)], strict=True):
-                for s in range(max(int(low), first), min(int(high), end - n) + 1):
-                    out[size].add((s, s + n))
-        return out
+    def _windows(self, h: np.ndarray, doc: np.ndarray, known: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By item size: first shingle, number of shingles and fingerprint of windows, some at a time.
+
+        h, doc, known: of each shingle, in order; known ones occur in some item.
+        """
+        sizes = {n: n - length + 1 for n in self.tables if min(SHINGLE, n) == length}
+        most = max(sizes.values())
+        running = np.concatenate(([0], np.cumsum(known)))
+        first_of = np.searchsorted(doc, doc)  # of a shingle's document
+        left = np.searchsorted(doc, doc, side="right") - np.arange(len(doc))  # shingles to the document's end
+        starts = np.arange(len(h))
+        if self.skip:  # nothing known before the longest window's end
+            starts = np.flatnonzero(running[np.minimum(starts + most, len(h))] > running[:-1])
+        for lo in range(0, len(starts), _WINDOWS):
+            here = starts[lo : lo + _WINDOWS]
+            sums = _Sums(h, here, most)
+            for n, grams in sizes.items():
+                count = np.minimum(grams, left[here])
+                fits = (count == grams) | (first_of[here] == here)  # a shorter document is one window
+                # c shared of count and grams shingles: c / (both - c) >= threshold
+                need = np.ceil(self.threshold / (1 + self.threshold) * (count + grams) - 1e-9)
+                if self.skip:
+                    fits &= running[here + count] - running[here] >= need
+                else:
+                    fits &= count >= need
+                if fits.any():
+                    yield n, here[fits], count[fits], sums.fingerprints(here[fits], count[fits])
+
+
+class _Sums:
+    """Running sums of the hash bits of the shingles from starts on, most of each."""
+
+    def __init__(self, h: np.ndarray, starts: np.ndarray, most: int):
+        self.lowest = int(starts[0])
+        covered = np.zeros(min(int(starts[-1]) + most, len(h)) - self.lowest + 1, np.int32)
+        np.add.at(covered, starts - self.lowest, 1)
+        np.add.at(covered, np.minimum(starts - self.lowest + most, len(covered) - 1), -1)
+        inside = np.cumsum(covered)[:-1] > 0
+        self.rank = np.concatenate(([0], np.cumsum(inside)))
+        self.ones = np.zeros((self.rank[-1] + 1, 64), np.int32)
+        np.cumsum(_bits(h[self.lowest : self.lowest + len(inside)][inside]), axis=0, out=self.ones[1:])
+
+    def fingerprints(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        at = first - self.lowest
+        return _simhash(self.ones[self.rank[at + count]] - self.ones[self.rank[at]], count)
 
 
 def _blocks(items: DataFrame) -> Iterator[Index]:
     """Indexes over blocks of the items."""
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    total = items.select(F.sum(words)).first()[0] or 0
-    n = -(-total // BLOCK_WORDS)
+    items = items.select("item_id", "text").where(words > 0).distinct()
+    n = -(-(items.select(F.sum(words)).first()[0] or 0) // BLOCK_WORDS)
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
         yield Index([(r["item_id"], r["text"]) for r in block.select("item_id", "text").collect()])
