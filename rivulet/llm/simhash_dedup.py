@@ -7,12 +7,13 @@ links join points within RADIUS of each other:
 
 * The segments form five blocks. Two points within distance 2 differ in two blocks at most and so agree in three: each
   point is put in ten cells, one for each choice of three blocks, and points that share no cell need no look.
-* In cells of up to CELL points, pairs are formed, kept if their Manhattan distance is at most RADIUS (counted in
-  unary codes by one xor), and verified by the number of differing bits.
-* Points of larger cells are linked by another exact way, as near copies would make too many pairs there: each sends
-  itself to the 65 fingerprints within one bit of it. Two fingerprints are within two bits of each other exactly if they
-  meet at one of these, and all that meet there (65 at most) are within two bits of each other; so one link from each to
-  the smallest is enough.
+* Cells of more than CELL points are cut by the next level: another division of the segments into five blocks, of which
+  two near points agree in three as well. After three levels, cells fix all but about two segments' counts. Points of
+  equal counts may still be many different fingerprints; cells that stay crowded are cut by the same three divisions of
+  the fingerprints' bits themselves, which leave a few fingerprints each.
+* In a cell, pairs are formed, kept if their Manhattan distance is at most RADIUS (counted in unary codes by one xor), and
+  verified by the number of differing bits. So a group of near copies costs its pairs within a few segments, not the
+  square of its size.
 
 Only different fingerprints take part, each once with its smallest doc_id, so exact copies never meet in one task. The
 components of the links then give each document its class.
@@ -24,7 +25,8 @@ it, and component_id is null only if nothing of the group has a doc_id; an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -40,10 +42,8 @@ from rivulet.llm.graph import components
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Most points of a cell of which pairs are formed.
+#: Most points of a cell that is not cut further.
 CELL = 24
-#: Segments of each of the five blocks.
-BLOCKS = (7, 7, 6, 6, 6)
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A byte's bits, lowest first, each in a byte of its own.
@@ -94,39 +94,43 @@ def embed(fp: Column) -> Column:
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def _masks() -> list[int]:
-    """A 64-bit mask for each choice of three of the five blocks, signed."""
-    ends = np.cumsum((0, *BLOCKS)) * 2
-    block = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(ends, ends[1:], strict=False)]
-    return [(m ^ (1 << 63)) - (1 << 63) for m in (sum(block[i] for i in c) for c in combinations(range(5), 3))]
+def _masks(block: Callable[[int], int]) -> list[int]:
+    """A 64-bit mask for each choice of three of five blocks, signed. block: of each segment."""
+    own = [sum(3 << 2 * s for s in range(32) if block(s) == k) for k in range(5)]
+    return [(m ^ (1 << 63)) - (1 << 63) for m in (sum(own[i] for i in c) for c in combinations(range(5), 3))]
+
+
+#: Divisions of the segments into five blocks; two blocks of each have about two segments in common.
+DIVISIONS = [_masks(lambda s: s // 7), _masks(lambda s: s % 5), _masks(lambda s: (s // 7 + s) % 5)]
 
 
 def links(fps: DataFrame, cell_points: int = CELL) -> DataFrame:
-    """a, b: links between different fingerprints, enough of them to connect all that are within RADIUS bits.
+    """a, b: all links between different fingerprints that are within RADIUS bits.
 
     fps: distinct fp; it is read twice.
     """
-    point = embed(F.col("fp"))
-    cells = fps.select("fp", point.alias("p")).select(
-        "fp", "p", F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("p").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(_masks())))).alias("c")
-    ).select("fp", "p", "c.choice", "c.cell")
-    shared = checkpoint(cells.groupBy("choice", "cell").agg(F.count("*").alias("n")).where("n > 1"))
-    met = checkpoint(cells.join(shared, ["choice", "cell"]))
-    small = met.where(F.col("n") <= cell_points)
-    l, r = small.alias("l"), small.alias("r")
-    pairs = l.join(
-        r,
-        (F.col("l.choice") == F.col("r.choice"))
-        & (F.col("l.cell") == F.col("r.cell"))
-        & (F.col("l.fp") < F.col("r.fp"))
-        & (F.bit_count(F.col("l.p").bitwiseXOR(F.col("r.p"))) <= RADIUS)
-        & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= RADIUS),
-    ).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-    crowded = met.where(F.col("n") > cell_points).select("fp").distinct()
-    near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(b - (1 << 64) if b >> 63 else b)) for b in (1 << k for k in range(64))))
-    meeting = crowded.select("fp", F.explode(near).alias("at")).groupBy("at").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    stars = meeting.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b")
-    return pairs.union(stars).distinct()
+    cells, found = fps.select("fp", embed(F.col("fp")).alias("p"), F.lit(0).cast("long").alias("cell")), []
+    levels = [(code, masks) for code in ("p", "fp") for masks in DIVISIONS]
+    for code, masks in levels:
+        choices = F.array(*(F.xxhash64(F.col("cell"), F.lit(i), F.col(code).bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
+        cells = cells.select("fp", "p", F.explode(choices).alias("cell"))
+        shared = checkpoint(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+        met = checkpoint(cells.join(shared, "cell"))
+        last = (code, masks) == levels[-1]
+        small = met if last else met.where(F.col("n") <= cell_points)
+        l, r = small.alias("l"), small.alias("r")
+        pairs = l.join(
+            r,
+            (F.col("l.cell") == F.col("r.cell"))
+            & (F.col("l.fp") < F.col("r.fp"))
+            & (F.bit_count(F.col("l.p").bitwiseXOR(F.col("r.p"))) <= RADIUS)
+            & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= RADIUS),
+        )
+        found.append(pairs.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")))
+        cells = met.where(F.col("n") > cell_points).select("fp", "p", "cell")
+        if last or cells.isEmpty():
+            break
+    return reduce(DataFrame.union, found).distinct()
 
 
 def _named(fps: DataFrame, cell_points: int, more: DataFrame | None = None) -> DataFrame:
