@@ -8,8 +8,9 @@ none with a probability of about (1 - s) ** KEYS, one in 390,000 at 0.8. Up to P
 with each, first by their sketches and then, exactly, by their whole sets of shingles. More texts of a key, a crowd, are
 connected in two steps:
 
-* Each is compared with the crowd's pivot. Pivots differ by key, so most of a large group of near copies is tied
-  together through several of its members, at a cost in proportion to its size.
+* The crowd is dealt into groups of about FAN by hash, and each text is compared with its group's pivot; the pivots are
+  dealt into groups again, and so on up to one. So no text meets more than about FAN others for a key and level, and as
+  groups differ by key, most of a large group of near copies is tied together at a cost in proportion to its size.
 * Where a crowd is then of several components, its texts outside the largest are compared with all that are of another.
   Texts whose sketches overlap enough share one of the rarest hashes of their sketches (prefix filtering). Up to PAIRS
   texts that share such a hash are compared each with each, so texts that only have a line in common cost little; texts
@@ -19,6 +20,7 @@ connected in two steps:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,10 @@ from rivulet.llm.graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-KEYS, SKETCH, PAIRS = 8, 32, 16
+KEYS, SKETCH, PAIRS, FAN = 8, 32, 16, 64
 #: Pairs whose sketches overlap less are not compared further: five deviations below the similarity asked for.
 LEAST_OVERLAP = 0.45
+SALTS = 32
 #: Shingles of a block of texts of a crowd.
 BLOCK = 1 << 19
 
@@ -159,7 +162,9 @@ def _crowded(texts: _Texts, crowds: DataFrame, linked: DataFrame) -> DataFrame |
     several = checkpoint(parts.where("parts > 1").select("key", F.col("most.root").alias("main")))
     if several.isEmpty():
         return None
-    split = checkpoint(rooted.join(several, "key").select("key", "id", "root", (F.col("root") != F.col("main")).alias("rest")))
+    # a crowd's texts share its key: in SALTS parts
+    salted = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    split = checkpoint(rooted.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).select("key", "id", "root", (F.col("root") != F.col("main")).alias("rest")))
     hashes = split.select("id", "root").distinct().join(texts.all, "id").select("id", "root", F.size("sketch").alias("size"), F.explode("sketch").alias("h"))
     hashes = checkpoint(hashes)
     common = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
@@ -184,15 +189,32 @@ def _crowded(texts: _Texts, crowds: DataFrame, linked: DataFrame) -> DataFrame |
     return found.union(rest.union(others).join(sets, "id").groupBy("key", "i", "j").applyInArrow(_matches, "a long, b long").distinct())
 
 
+def _stars(crowds: DataFrame, largest: int) -> DataFrame:
+    """a, b: each text of a crowd (key, id, n) with the pivot of its group, level by level. largest: the largest n."""
+    members, stars = crowds, []
+    while largest > 1:
+        groups = F.ceil(F.col("n") / FAN)
+        dealt = members.select("key", "id", groups.alias("n"), F.pmod(F.xxhash64("id", "key"), groups).alias("g"))
+        pivots = checkpoint(dealt.groupBy("key", "g").agg(F.min(F.struct(F.xxhash64("key", "id"), "id")).getField("id").alias("pivot"), F.first("n").alias("n")))
+        met = dealt.join(pivots.drop("n"), ["key", "g"]).where("id <> pivot")
+        stars.append(met.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")))
+        members, largest = pivots.select("key", F.col("pivot").alias("id"), "n"), -(-largest // FAN)
+    return reduce(DataFrame.union, stars)
+
+
 def links(docs: DataFrame, fps: DataFrame) -> DataFrame:
     """a, b: fingerprints of texts of enough similarity. docs: doc_id, text; fps: whole, fp."""
     texts = _Texts(docs)
     keys = texts.all.select("id", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
-    lists = checkpoint(keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "id"), "id")).alias("p")).where("n > 1").select("key", "n", F.col("p.id").alias("pivot")))
+    lists = checkpoint(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = checkpoint(keys.join(lists, "key"))
-    stars = met.where((F.col("n") > PAIRS) & (F.col("pivot") != F.col("id"))).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
-    linked, _ = texts.similar(checkpoint(_pairs(met.where(F.col("n") <= PAIRS), "key").union(stars).distinct()))
-    more = _crowded(texts, met.where(F.col("n") > PAIRS).select("key", "id"), linked)
-    linked = linked.union(more) if more else linked
+    pairs, crowds = _pairs(met.where(F.col("n") <= PAIRS), "key"), met.where(F.col("n") > PAIRS)
+    largest = lists.agg(F.max("n")).first()[0] or 0
+    if largest <= PAIRS:
+        linked, _ = texts.similar(checkpoint(pairs.distinct()))
+    else:
+        linked, _ = texts.similar(checkpoint(pairs.union(_stars(crowds, largest)).distinct()))
+        more = _crowded(texts, crowds.select("key", "id"), linked)
+        linked = linked.union(more) if more else linked
     first = fps.groupBy(F.col("whole").alias("id")).agg(F.min("fp").alias("fp"))
     return linked.join(_of(first, "a", "fp"), "a").join(_of(first, "b", "fp"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
