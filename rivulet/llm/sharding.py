@@ -74,20 +74,22 @@ def descend(df: DataFrame, key: Column, shards: tuple[Shard, ...], out: str) ->
 def _slotted(docs: DataFrame, shards: tuple[Shard, ...], *keep: Column) -> DataFrame:
     """keep, doc_id, key, size, text_crc32, shard, slot for each row of docs.
 
-    Slots count a shard's rows from 0 along (hash of doc_id, doc_id, crc). They are made in slices of that hash: a
-    count for each slice, running sums of the counts, and ranks within slices, so that no task holds a shard.
+    Slots count a shard's rows from 0 along (hash of doc_id and crc, doc_id, crc). They are made in slices of that hash: a
+    count for each slice, running sums of the counts, and ranks within slices, so that no task holds a shard, nor all
+    texts of one doc_id.
     """
     n = slices(docs.count())
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    crc = F.crc32(text.cast("binary")).cast("long").alias("text_crc32")
 
     def placed(df: DataFrame) -> DataFrame:
-        hashed = df.withColumns({"key": id_text(F.col("doc_id")), "h": hash52(id_text(F.col("doc_id")))})
+        hashed = df.withColumns({"key": id_text(F.col("doc_id")), "h": hash52(id_text(F.col("doc_id")), F.col("text_crc32").cast("string"))})
         return descend(hashed, F.col("key"), shards, "shard").withColumn("slice", F.floor(F.col("h") / F.lit(float(HASH_RANGE)) * n).cast("int"))
 
-    counts = placed(docs.select("doc_id")).groupBy("shard", "slice").agg(F.count("*").alias("rows"))
+    counts = placed(docs.select("doc_id", crc)).groupBy("shard", "slice").agg(F.count("*").alias("rows"))
     running = F.sum("rows").over(Window.partitionBy("shard").orderBy("slice")) - F.col("rows")
     before = counts.select("shard", "slice", running.alias("before"))
-    rows = placed(docs.select(*keep, "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32")))
+    rows = placed(docs.select(*keep, "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), crc))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "slice").orderBy("h", "doc_id", "text_crc32")))
     return ranked.join(before, ["shard", "slice"]).withColumns({"slot": (F.col("before") + F.col("rank") - 1).cast("long"), "shard": F.col("shard").cast("int")})
 
