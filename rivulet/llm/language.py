@@ -7,8 +7,8 @@ softmax. A text's prediction is the language with the largest mean of its window
 
 For scoring, pairs of neighbouring bytes index summed tables, so a filter of four bytes costs two lookups.
 
-Learning uses a bounded sample of labelled rows (SAMPLE texts, a window of each at a hashed place); scoring covers whole
-texts. Learning never sees held-out rows.
+Learning uses a bounded sample of labelled rows (SAMPLE different texts in equal shares for the LANGUAGES languages, a
+window of each at a hashed place); scoring covers whole texts. Learning never sees held-out rows.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; if nothing can be learned from, all are;
 rows of null lang are scored but not learned from; repeated rows are scored alike; an empty table gives an empty result.
@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm import tokens
-from rivulet.llm.common import bounded_sample, crc_mod, id_text
+from rivulet.llm.common import bounded_sample, crc_mod
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 #: Most labelled rows that are learned from, and passes over them.
 SAMPLE = 3000
+#: Most languages that are told apart, those with the most texts.
+LANGUAGES = 64
 EPOCHS = 6
 STEP = LENGTH - max(WIDTHS) + 1
 
@@ -140,13 +142,14 @@ def learn(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Network |
     """A network from a bounded sample of the learnable rows; None if none has a language."""
     known = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     size = F.length("text")
-    start = F.pmod(F.xxhash64(F.lit("window"), id_text(F.col("doc_id"))), F.greatest(size - LENGTH, F.lit(1)))
+    start = F.pmod(F.xxhash64(F.lit("window"), F.col("text")), F.greatest(size - LENGTH, F.lit(1)))
     # every fourth window is cut short, for the network to know short texts too
-    length = F.when(F.pmod(F.xxhash64(F.lit("short"), id_text(F.col("doc_id"))), F.lit(4)) == 0, 40).otherwise(LENGTH)
-    got = bounded_sample(known, id_text(F.col("doc_id")), sample).select("doc_id", "lang", F.substring("text", (start + 1).cast("int"), length.cast("int")).alias("text")).collect()
+    length = F.when(F.pmod(F.xxhash64(F.lit("short"), F.col("text")), F.lit(4)) == 0, 40).otherwise(LENGTH)
+    cut = known.select("lang", F.xxhash64("text").alias("text_hash"), F.substring("text", (start + 1).cast("int"), length.cast("int")).alias("text"))
+    got = bounded_sample(cut, sample, [F.col("text_hash"), F.col("lang")], F.col("lang"), LANGUAGES).select("lang", "text").collect()
     if not got:
         return None
-    got.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))
+    got.sort(key=lambda r: (r["lang"], r["text"]))
     languages = sorted({r["lang"] for r in got})
     cut = [r["text"].encode()[:LENGTH] for r in got]
     rows = np.zeros((len(got), LENGTH), np.uint8)

@@ -9,7 +9,7 @@ nodes that are neighbours in the text; and skip edges between all nodes whose to
 or more digits. A group's skip edges meet in a hub with a label of its own, so their number stays that of its members.
 Nodes that base spans cover are observed. Loopy sum-product passes messages along all edges, ROUNDS times, over the
 whole document; a node whose probability of some kind is at least CERTAIN, away from base spans, becomes a span
-(neighbouring nodes of one kind a single one). So a part of a number that a base span holds elsewhere in the document is
+(neighbouring nodes that are parts of one card or phone a single one; whole ones stay apart). So a part of a number that a base span holds elsewhere in the document is
 found too.
 
 Weights are fitted here by pseudo-likelihood to the base labels of a bounded sample of documents (SAMPLE, of up to
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm import tokens
-from rivulet.llm.common import bounded_sample, id_text
+from rivulet.llm.common import bounded_sample
 
 #: Kinds in their order, and the patterns of the base spans.
 KINDS = ("email", "ip", "card", "phone")
@@ -117,6 +117,20 @@ def shape(token: str) -> list[float]:
 _SHAPES = len(shape("1"))
 
 
+#: Most digits of a card and a phone.
+_MOST = {2: 19, 3: 15}
+
+
+def _whole(kind: int, text: str) -> bool:
+    return (0, kind, len(text)) in base_spans(text)
+
+
+def _one(kind: int, before: str, after: str) -> bool:
+    """Whether neighbours of a kind are parts of one entity: neither is whole by itself, nor do both have too many digits."""
+    digits = sum("0" <= c <= "9" for c in before + after)
+    return kind in _MOST and digits <= _MOST[kind] and not _whole(kind, before) and not _whole(kind, after)
+
+
 def _key(token: str) -> str:
     """Tokens of equal keys are linked by skip edges."""
     core = token.strip(_EDGE + "+").lower()
@@ -136,14 +150,18 @@ class Nodes:
         words = [text[a:b] for a, b in self.at]
         known: dict[str, list[float]] = {}
         self.shapes = np.array([known[w] if w in known else known.setdefault(w, shape(w)) for w in words]).reshape(-1, _SHAPES)
-        self.observed, k = np.full(len(words), -1), 0
-        by_end = sorted(spans)
+        self.observed = np.full(len(words), -1)
+        of_kind = [sorted(s for s in spans if s[1] == kind) for kind in range(len(KINDS))]  # no two of a kind overlap
+        nxt = [0] * len(KINDS)
         for i, (a, b) in enumerate(self.at):
-            while k < len(by_end) and by_end[k][2] <= a:
-                k += 1
-            over = [s for s in by_end[k : k + 8] if s[0] < b and s[2] > a]
+            over = []
+            for kind, own in enumerate(of_kind):
+                while nxt[kind] < len(own) and own[nxt[kind]][2] <= a:
+                    nxt[kind] += 1
+                if nxt[kind] < len(own) and own[nxt[kind]][0] < b:
+                    over.append(own[nxt[kind]])
             if over:
-                self.observed[i] = over[0][1] + 1
+                self.observed[i] = min(over)[1] + 1
         order = np.array(nth, np.int64)
         self.links = np.flatnonzero(np.diff(order) == 1)
         groups = defaultdict(list)
@@ -196,10 +214,11 @@ class Field:
             a, b = nodes.at[i]
             word = text[a:b]
             start, end = a + len(word) - len(word.lstrip(_EDGE)), b - (len(word) - len(word.rstrip(_EDGE)))
-            if out and i and label[i - 1] == label[i] and not text[out[-1][2] : start].strip(_EDGE + " "):
-                out[-1] = (out[-1][0], out[-1][1], end)
+            kind = int(label[i]) - 1
+            if out and i and label[i - 1] == label[i] and not text[out[-1][2] : start].strip(_EDGE + " ") and _one(kind, text[out[-1][0] : out[-1][2]], text[start:end]):
+                out[-1] = (out[-1][0], kind, int(end))
             elif start < end:
-                out.append((int(start), int(label[i]) - 1, int(end)))
+                out.append((int(start), kind, int(end)))
         return out
 
 
@@ -241,7 +260,7 @@ def fit(texts: list[str], steps: int = 300, seed: int = 0) -> Field | None:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     """docs: doc_id, text."""
     cued = docs.where(F.length("text").between(1, LONGEST) & F.col("text").rlike("[0-9@]"))
-    texts = sorted({r["text"] for r in bounded_sample(cued, id_text(F.col("doc_id")), sample).select("text").collect()})
+    texts = sorted({r["text"] for r in bounded_sample(cued.select("text"), sample, [F.col("text")]).collect()})
     return fit(texts)
 
 

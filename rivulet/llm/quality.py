@@ -4,7 +4,7 @@ One pass over the texts makes FEATURES statistics of each document (shares of ki
 words and phrases); everything after works on these. They are standardised by their mean and deviation over all
 documents and mapped to RANDOM cosines, whose inner products approximate a Gaussian kernel. Ridge regression of the
 labels on the cosines needs only the normal equations, which each partition of the learning rows sums for itself;
-the sums are added up in stages and solved on the driver, whose part does not grow with the rows. Isotonic regression on the
+the sums are added up in a tree whose nodes have FAN children, and solved on the driver. Isotonic regression on the
 learning rows' predictions, counted in BINS bins, turns predictions into probabilities.
 
 All labelled rows but the held-out ones are learned from. Scores do not depend on doc_id, source or lang.
@@ -30,8 +30,8 @@ RANDOM = 192
 BINS = 2000
 RIDGE = 1e-4
 THRESHOLD = 0.3
-#: Sums of partitions are added up in this many groups before the driver adds these.
-GROUPS = 16
+#: A task or the driver adds up the sums of this many partitions or tasks at most.
+FAN = 32
 
 #: Kinds of characters whose shares are statistics.
 KINDS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?'\"", b"!", b"#$%&*@^~=+<>_\\/{}[]", b"|", b"\n", bytes(range(128, 256)))
@@ -134,7 +134,9 @@ def fit(stats: DataFrame, labels: DataFrame) -> tuple[Cosines, np.ndarray, np.nd
     """stats: doc_id, x (read several times). labels: doc_id, y. Cosines, weights, bins and their probabilities."""
     spark = stats.sparkSession
     moments = stats.select(*(f(F.col("x")[i]).alias(f"{n}{i}") for i in range(FEATURES) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    marked = checkpoint(stats.join(labels, "doc_id").select("x", "y"))
+    # a row for each row of stats, however many labels its doc_id has
+    counted = labels.groupBy("doc_id").agg(F.count("y").alias("n"), F.sum("y").alias("ones"))
+    marked = checkpoint(stats.join(counted, "doc_id").select("x", "n", "ones"))
     if moments["m0"] is None or marked.isEmpty():
         return None
     cosines = spark.sparkContext.broadcast(Cosines(np.array([moments[f"m{i}"] for i in range(FEATURES)]), np.array([moments[f"s{i}"] for i in range(FEATURES)])))
@@ -142,25 +144,29 @@ def fit(stats: DataFrame, labels: DataFrame) -> tuple[Cosines, np.ndarray, np.nd
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, some = np.zeros((RANDOM + 1, RANDOM + 2)), False
         for batch in batches:
-            z, y, some = cosines.value(_rows(batch.column(0))), np.asarray(batch.column(1), np.float64), True
-            total += z.T @ np.column_stack((z, y))
+            z, n, ones, some = cosines.value(_rows(batch.column(0))), np.asarray(batch.column(1), np.float64), np.asarray(batch.column(2), np.float64), True
+            total += z.T @ np.column_stack((z * n[:, None], ones))
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     def added(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.table({"sums": pa.array([sum(np.frombuffer(b.as_py()) for b in table.column("sums")).tobytes()], pa.binary())})
-
-    groups = marked.mapInArrow(sums, "sums binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(GROUPS))).groupBy("part").applyInArrow(added, "sums binary")
-    total = sum(np.frombuffer(r["sums"]) for r in groups.collect()).reshape(RANDOM + 1, RANDOM + 2)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([sum(np.frombuffer(b.as_py()) for b in table.column("sums")).tobytes()], pa.binary())})
+
+    parts = marked.rdd.getNumPartitions()
+    tree = marked.select("x", "n", "ones").mapInArrow(sums, "sums binary").withColumn("part", F.spark_partition_id().cast("long"))
+    while parts > FAN:
+        tree = tree.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInArrow(added, "part long, sums binary")
+        parts = -(-parts // FAN)
+    total = sum(np.frombuffer(r["sums"]) for r in tree.select("sums").collect()).reshape(RANDOM + 1, RANDOM + 2)
     n = total[-1, -2]
     weights = np.linalg.solve(total[:, :-1] + RIDGE * n * np.eye(RANDOM + 1), total[:, -1])
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = _bin(cosines.value(_rows(batch.column(0))) @ weights)
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], names=["bin", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1), batch.column(2)], names=["bin", "n", "ones"])
 
-    bins = sorted(marked.mapInArrow(binned, "bin long, y int").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("ones")).collect())
+    bins = sorted(marked.mapInArrow(binned, "bin long, n long, ones long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect())
     share = isotonic(np.array([r["n"] for r in bins], float), np.array([r["ones"] for r in bins], float))
     return cosines.value, weights, np.array([r["bin"] for r in bins]), share
 

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm import tokens
-from rivulet.llm.common import bounded_sample, crc_mod, id_text
+from rivulet.llm.common import bounded_sample, crc_mod
 
 WINDOW = 16
 STRIDE = 8
@@ -326,9 +325,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAMPLE) -> Network | None:
     """docs: doc_id, text. labels: doc_id, toxic. The labelled texts are gathered by a join with the bounded sample."""
     marked = labels.select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic")).where(learnable & F.col("toxic").isin(0, 1) & F.col("labelled").isNotNull())
-    some = reduce(DataFrame.union, (bounded_sample(marked.where(F.col("toxic") == k), id_text(F.col("labelled")), sample) for k in (0, 1)))
-    rows = docs.where(F.length("text").between(1, LONGEST)).join(F.broadcast(some), F.col("doc_id") == F.col("labelled")).select("text", "toxic").collect()
-    texts = {r["text"]: r["toxic"] for r in sorted(rows, key=lambda r: (r["text"], r["toxic"]))}
+    some = bounded_sample(marked, 2 * sample, [F.col("labelled")], F.col("toxic"))
+    found = docs.where(F.length("text").between(1, LONGEST)).join(F.broadcast(some), F.col("doc_id") == F.col("labelled")).select("text", "toxic")
+    # an id may stand for many texts: of these, a bounded number
+    rows = found.dropDuplicates().orderBy(F.xxhash64("text"), "toxic").limit(8 * sample).collect()
+    rows.sort(key=lambda r: (r["text"], r["toxic"]))
+    texts = {r["text"]: r["toxic"] for r in rows}
     return train(list(texts), list(texts.values()))
 
 
