@@ -4,11 +4,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from rivulet.llm import resemblance
+from rivulet.llm import resemblance, tokens
 from rivulet.llm import simhash_dedup as sd
-from rivulet.llm.decontamination import Index, drop_contaminated, find, shingles, similarity
+from rivulet.llm.decontamination import Index, Table, drop_contaminated, find, shingles, similarity
 from rivulet.llm.graph import components
 
 
@@ -85,6 +86,19 @@ def test_links_of_random_clusters(spark):
         assert {r.doc_id: r.component_id for r in sd.classes(df, cell).collect()} == want
 
 
+def test_links_where_most_cells_are_crowded(spark):
+    rng = random.Random(3)
+    center = rng.getrandbits(64)
+    low = [b for k in (0, 1, 2, 3, 14, 15) for b in (2 * k, 2 * k + 1)]  # all values of six segments: equal counts, many bits
+    fps = {center ^ sum(1 << b for b in low if rng.random() < 0.5) for _ in range(700)}
+    fps |= {center ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(400)}
+    rows = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
+    df = spark.createDataFrame([(f,) for f in rows], "fp long")
+    want = {(min(a, b), max(a, b)) for i, a in enumerate(rows) for b in rows[:i] if (a ^ b).bit_count() <= 2 or ((a ^ b) % (1 << 64)).bit_count() <= 2}
+    for cell in (4, 100_000):
+        assert {tuple(r) for r in sd.links(df, cell).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(5, 5), (3, 2), (100, 90)], "a long, b long")
     assert {r.node: r.root for r in components(links, "a", "b").collect()} == {i: 0 for i in range(31)} | {100: 90, 90: 90}
@@ -106,7 +120,7 @@ def brute_matches(docs, items):
     return out
 
 
-def test_decontamination_against_brute_force(spark):
+def test_decontamination_against_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     word = lambda: f"v{rng.randrange(300)}"
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 3, 4, 5, 6, 12, 20, 30, 30, 60])] + [(50, None), (51, " "), (52, "rep " * 20)]
@@ -124,6 +138,16 @@ def test_decontamination_against_brute_force(spark):
     got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.n_words) for r in find(df, other).collect()}
     want = brute_matches(dict(docs).items(), items)
     assert got == want and len(got) > 50
+    # the fingerprints alone choose the candidates: the same without passing over any window
+    index, unskipped = Index(items), Index(items, skip=False)
+    texts = pa.array([None if t is None else t.encode() for _, t in docs], pa.binary())
+    for part in tokens.parts(texts):
+        assert unskipped.matches(part) == index.matches(part)
+    assert {(docs[d][0], i) for part in tokens.parts(texts) for d, i, *_ in unskipped.matches(part)} == set(want)
+    monkeypatch.setattr(Table, "near", lambda self, fps: (np.zeros(0, int),) * 3)
+    assert all(Index(items).matches(part) == [] for part in tokens.parts(texts))
+    monkeypatch.undo()
+    assert sorted(map(tuple, find(df, other.union(other)).collect())) == sorted(map(tuple, find(df, other).collect()))
     kept = {r.doc_id for r in drop_contaminated(df, other).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
     assert drop_contaminated(df, other).columns == df.columns
@@ -133,12 +157,13 @@ def test_decontamination_against_brute_force(spark):
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(5)
     index = Index([(i, " ".join(f"q{x}" for x in rng.integers(0, 400, 20))) for i in range(300)])
-    of, own, _ = index.blocks[20]
+    table = index.tables[20]
+    of, own = table.items, table.fps.view(np.uint8).reshape(-1, 8)
     flips = np.packbits(rng.random((300, 64)) < 0.3, axis=1, bitorder="little")
     fps = own ^ flips
     found = defaultdict(set)
-    for w, i, d in index.near(20, fps):
-        found[w].add((i, d))
+    for w, i, d in zip(*table.near(fps)):
+        found[w].add((int(i), int(d)))
     distance = np.bitwise_count(fps[:, None] ^ own[None]).sum(2)
     for w in range(300):
         assert found[w] == {(int(of[j]), int(distance[w, j])) for j in np.flatnonzero(distance[w] <= 23)}
@@ -218,3 +243,40 @@ def test_rows_that_share_or_lack_a_doc_id_count_by_their_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r.doc_id or 0, r.text.split()[0]) for r in sd.drop_near_copies(docs).collect())
     assert got == [(0, "f0"), (1, "a0"), (5, "b0"), (7, "c0"), (7, "d0"), (8, "e0")]
+
+
+def test_copies_that_share_a_common_passage(spark):
+    rng = random.Random(8)
+    passage = [f"licence{k}" for k in range(352)]
+    rows = []
+    for k in range(60):
+        own = [f"text{k}x{j}" for j in range(52)]
+        again = list(own)
+        again[rng.randrange(52)] = "changed"
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + again))]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(400)} for i, t in rows}
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(similar(2 * k, 2 * k + 1) >= 0.8 and similar(2 * k, (2 * k + 2) % 120) < 0.8 for k in range(60))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = brute_groups(rows)
+    assert sorted(r.doc_id for r in sd.drop_near_copies(docs).collect()) == sorted(i for i in groups if groups[i] == i)
+
+
+def test_pivots_meet_a_bounded_number_of_texts(spark):
+    crowds = spark.range(5000).selectExpr("cast(7 AS long) AS key", "id", "5000L AS n").union(spark.range(20).selectExpr("9L", "id", "20L"))
+    stars = resemblance._stars(crowds, 5000).collect()
+    degree = defaultdict(int)
+    for r in stars:
+        degree[r.a] += 1
+        degree[r.b] += 1
+    assert max(degree.values()) < 5 * resemblance.FAN and len(degree) == 5000
+    up = list(range(5000))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in stars:
+        up[root(r.a)] = root(r.b)
+    assert len({root(x) for x in range(5000)}) == 1

@@ -8,7 +8,7 @@ import pytest
 
 from rivulet.llm.mixing import mix
 from rivulet.llm.sharding import Shard, assign, grow, tree
-from rivulet.llm.topk import nra, search
+from rivulet.llm.topk import Trace, nra, search
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, rank int"
 
@@ -19,31 +19,72 @@ def documents(spark, rows):
 
 def test_bounds_keep_every_best_candidate():
     rng = np.random.default_rng(1)
-    for depth in ((), (0.1,), (0.05, 0.2, 0.5)):
+    for depth in ((1.0,), (0.1, 1.0), (0.05, 0.2, 0.5, 0.9, 1.0)):
         c = np.floor(rng.normal(size=(300, 8)) * 20 + (rng.integers(0, 4, 300) * 30)[:, None])
-        q, ids = c[:15], rng.permutation(300)
+        q = c[:15]
         own = np.zeros((15, 300), bool)
         own[np.arange(15), np.arange(15)] = True
-        for i, (at, scores) in enumerate(nra(q, c, ids, own, 7, depth)):
-            want = sorted((-(q[i] @ c[j]), ids[j]) for j in range(300) if j != i)[:7]
-            assert [(-s, ids[a]) for a, s in zip(at, scores, strict=True)] == want
+        query, place, score = nra(q, c, own, np.full(15, -np.inf), 7, depth)
+        for i in range(15):
+            best = np.sort(np.delete(q[i] @ c.T, i))[-7:]
+            of = query == i
+            assert (score[of] == c[place[of]] @ q[i]).all() and i not in place[of]
+            assert sorted(score[of])[-7:] == best.tolist()
+            assert set(np.flatnonzero(q[i] @ c.T >= best[0])) - {i} <= set(place[of])  # ties too
+
+
+def test_reading_stops_before_the_lists_end():
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(40, 32))
+    c = np.floor(64 * (centers[rng.integers(0, 40, 4000)] + 0.2 * rng.normal(size=(4000, 32))))
+    q = c[::200]
+    trace = Trace()
+    none = np.zeros((len(q), 2000), bool)
+    query, place, score = nra(q, c[:2000], none, np.full(len(q), -np.inf), 10, (0.3, 0.5, 0.7, 0.9, 1.0), trace)
+    assert trace.left[0] <= len(q) * 2000 and trace.left[-1] < len(q) * 2000 / 10 and trace.read < 0.95 * trace.entries
+    assert len(query) < len(q) * 2000 / 10  # resolved are few
+    floor = np.array([np.sort(score[query == i])[-10] for i in range(len(q))])
+    again = Trace()
+    query, place, score = nra(q, c[2000:], none, floor, 10, (0.3, 0.5, 0.7, 0.9, 1.0), again)
+    assert again.read / again.entries < trace.read / trace.entries  # what earlier blocks found saves reading
+    for i in range(len(q)):
+        assert set(np.flatnonzero(c[2000:] @ q[i] > floor[i])) <= set(place[query == i]) or (query == i).sum() >= 10
 
 
 def test_search_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=6)], 0) for i in range(200)]
     rows += [(1000 + i, [0.5] * 6, 1) for i in range(60)]  # ties
-    rows += [(2000, None, 1), (2020, [float("nan")] * 6, 1), (2040, [1.0, None, 1.0], 1), (None, [1.0] * 6, 1), (2060, [float("inf")], 1), (2080, [], 1), (2100, [2.0], 1), (3, rows[3][1], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    got = defaultdict(list)
-    for r in search(df, k=5, block=64, queries=4).collect():
-        got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    v = {i: [int(np.floor(64 * float(np.float32(x)))) for x in e] for i, e, _ in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
-    assert set(got) == {i for i in v if i % 20 == 0}
-    for q, found in got.items():
-        want = sorted((-sum(a * b for a, b in zip(v[q], x)), i) for i, x in v.items() if i != q)[:5]
-        assert sorted(found) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    rows += [(2000, None, 1), (2020, [float("nan")] * 6, 1), (2040, [1.0, None, 1.0], 1), (2060, [float("inf")], 1), (2080, [], 1), (2100, [2.0], 1)]
+    rows += [(None, [1.0] * 6, 1), (None, [3.0] * 6, 1), (3, rows[3][1], 0), (3, rows[3][1], 0), (20, rows[20][1], 0), (40, rows[41][1], 0)]  # repeated
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(3)
+    v = [(i, tuple(int(np.floor(64 * float(np.float32(x)))) for x in e)) for i, e, _ in rows if e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    want = {}
+    for q, a in {(i, x) for i, x in v if i is not None and i % 20 == 0}:
+        want.setdefault(q, []).extend((-sum(s * t for s, t in zip(a, x)), i is None, i) for i, x in v if i != q)
+    for block, queries in ((64, 4), (8192, 1000)):
+        got = defaultdict(list)
+        for r in search(df, k=5, block=block, queries=queries).collect():
+            got[r.query_id].append((r["rank"], r.vec_id, r.score))
+        assert set(got) == set(want) and 40 in got and 20 in got
+        for q, found in got.items():
+            assert sorted(found, key=lambda f: f[0]) == [(n + 1, i, -s) for n, (s, _, i) in enumerate(sorted(want[q], key=lambda w: (w[0], w[1], w[2] or 0))[:5])]
     assert search(df.limit(0)).count() == 0
+    assert search(df.where("vec_id = 2060")).count() == 0
+
+
+def test_the_query_and_its_sql_agree_on_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    from rivulet.llm.catalog import ORACLES, op1_nra_top_k
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in [*range(50), *range(30), None, None]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(ORACLES["op1_nra_top_k"]).fetchall())
+    assert sorted(map(tuple, op1_nra_top_k(spark, str(tmp_path)).collect()), key=lambda r: r[:2]) == want and len(want) == 60
 
 
 def test_huge_components_stay_exact(spark):
