@@ -66,14 +66,14 @@ def slices(n: int, rows_each: int = 1_000_000, least: int = 64) -> int:
 
 
 def bounded_sample(df: DataFrame, n: int, key: list[Column], by: Column | None = None, groups: int = 64) -> DataFrame:
-    """At most n rows of df, in equal shares for the values of by (the groups most frequent ones); all, if fewer.
+    """At most n rows of df, in equal shares for the values of by (the groups most frequent ones, not null); all, if fewer.
 
     No two rows have an equal key in a group, so repeated rows count once, and key must decide all columns that are
     used. A group's rows with the smallest hashes of key are taken: first, all below a hash that by an estimate of the
     number of different keys leaves half as many again; then the n smallest of these. Reruns agree.
     """
     hashed = df.withColumns({"__by": F.lit(0) if by is None else by, "__at": F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1 << 40))})
-    about = hashed.groupBy("__by").agg(F.approx_count_distinct("__at").alias("keys")).orderBy(F.desc("keys"), "__by").limit(groups).collect()
+    about = hashed.where("__by IS NOT NULL").groupBy("__by").agg(F.approx_count_distinct("__at").alias("keys")).orderBy(F.desc("keys"), "__by").limit(groups).collect()
     if not about:
         return df.limit(0)
     each = max(1, n // len(about))

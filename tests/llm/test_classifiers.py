@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.llm import language, quality, tokens, toxicity
+from rivulet.llm import language, pii, quality, tokens, toxicity
+from rivulet.llm.common import bounded_sample
 
 SF = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
@@ -135,6 +136,8 @@ def test_toxicity_held_out(spark):
     pairs = [(r.predicted, truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
     assert sum(a == b for a, b in pairs) / len(pairs) > 0.88
     assert sum(a > b for a, b in pairs) <= 4  # clean texts are left alone
+    both = sum(a and b for a, b in pairs)
+    assert both / sum(b for _, b in pairs) > 0.7 and both / sum(a for a, _ in pairs) > 0.8  # recall, precision
     assert {r.score for r in got if r.doc_id in (-1, -2, -3)} == {0.0}
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and 0.8 * docs.count() < kept.count() < docs.count()
@@ -186,3 +189,59 @@ def test_language_held_out(spark):
     assert all(r.lang_pred != "und" for r in got if r.doc_id in (-5, -6, None))
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).limit(5).collect()} == {"und"}
     assert language.identify(docs.limit(0)).count() == 0
+
+
+def test_bounded_samples(spark):
+    row = lambda i: (i, f"text {i}", i % 3)
+    many = spark.createDataFrame([row(i) for i in range(5000)], "id long, text string, kind int")
+    sample = lambda df, n, by=None: [r.text for r in bounded_sample(df, n, [F.col("text")], by).collect()]
+    got = sample(many, 1000)
+    assert len(got) == len(set(got)) == 1000 and sorted(got) == sorted(sample(many.repartition(7), 1000))
+    nameless = many.withColumn("id", F.lit(None).cast("long"))
+    assert sorted(sample(nameless, 1000)) == sorted(got)
+    hot = many.union(spark.range(20_000).selectExpr("id", "'the same'", "0"))
+    assert 900 < len(set(sample(hot, 1000))) <= 1000
+    few = spark.range(30_000).selectExpr("id", "concat('t', id % 7) AS text", "0")
+    assert sorted(sample(few, 1000)) == [f"t{k}" for k in range(7)] and len(sample(few, 3)) == 3
+    kinds = [r.kind for r in bounded_sample(hot, 900, [F.col("text")], F.when(F.col("kind") < 2, F.col("kind"))).collect()]
+    assert kinds.count(0) == kinds.count(1) == 450 and kinds.count(2) == 0
+    assert sample(many.limit(0), 10) == []
+
+
+@needs_tables
+def test_learning_from_rows_without_or_with_few_ids(spark):
+    docs, labels = tables(spark)
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    truth = {r.text: r.lang for r in docs.where("lang IS NOT NULL").collect()}
+    net = language.learn(nameless.select("text", "lang"), F.lit(True))
+    place, _ = language.predict(net, net.pairs(), columns(list(truth)))
+    assert np.mean([net.languages[p] == lang for p, lang in zip(place, truth.values())]) > 0.95
+    assert pii.learn(nameless) is not None
+    few = docs.where("doc_id BETWEEN 0 AND 90").crossJoin(spark.range(30).select(F.lit(1).alias("again")))  # each row 30 times
+    assert toxicity.learn(few, labels.crossJoin(spark.range(3).select(F.lit(1).alias("again"))), F.lit(True)) is not None
+    assert toxicity.learn(nameless, labels, F.lit(True)) is None
+    # a language of few texts is learned beside one of many
+    rare = spark.createDataFrame([(k, "zqx " * 50 + str(k), "rare") for k in range(40)], "doc_id long, text string, lang string")
+    net = language.learn(docs.select("text", "lang").union(rare.select("text", "lang")), F.lit(True), 400)
+    assert "rare" in net.languages
+
+
+def test_quality_against_a_direct_solution(spark):
+    rng = np.random.default_rng(5)
+    words = ["alpha", "beta", "Gamma", "delta!", "9", "|", "x"]
+    rows = [(i, " ".join(rng.choice(words[: 3 + i % 5], 5 + i % 40))) for i in range(300)] + [(7, "repeated id"), (None, "no id")]
+    marks = [(i, int(i % 5 > 2)) for i in range(0, 300, 2)] + [(4, 1), (4, 0), (7, 1), (8, None), (None, 1), (5000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(70)  # a tree of several levels
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    got = {(r.doc_id, round(r.score, 9)) for r in quality.score(docs, labels).collect()}
+    x = np.concatenate([quality.statistics(p) for p in tokens.parts(columns([t for _, t in rows]))])
+    z = quality.Cosines(x.mean(0), x.std(0))(x)
+    learned = [(z[k], y) for k, (i, _) in enumerate(rows) for j, y in marks if i is not None and i == j and y is not None and crc(i, 5) != 0]
+    a, y = np.array([r for r, _ in learned]), np.array([r for _, r in learned], float)
+    weights = np.linalg.solve(a.T @ a + quality.RIDGE * len(y) * np.eye(len(a.T)), a.T @ y)
+    bins, at = np.unique(quality._bin(a @ weights), return_inverse=True)
+    share = quality.isotonic(np.bincount(at).astype(float), np.bincount(at, y))
+    want = np.clip(np.interp(quality._bin(z @ weights), bins, share), 0, 1)
+    direct = {(i, round(s, 9)) for (i, _), s in zip(rows, want)}
+    near = sum(any(i == j and abs(s - t) < 1e-6 for j, t in direct) for i, s in got)
+    assert len(got) == len(direct) and near >= 0.99 * len(got)  # a bin's edge may fall between two sums of the same numbers
