@@ -1,8 +1,9 @@
 """Requests resolved against listings: exact, latest, nearest earlier quarter, or a choice among alternatives.
 
-A listing is summed up once for each scan (code and year, or the code alone): of each bucket, its first row. That is a fixed number of
-values, so a request meets one row, whatever the listing's length, and the decision is an expression over it. The
-listing is shuffled once, with partial aggregation before; requests for the same scan share it.
+A listing is cut to the scans (code and year, or the code alone) that requests name, and summed up once for each: of
+each bucket, its first row. That is a fixed number of values, so a request meets one row, whatever the listing's length,
+and the decision is an expression over it. Rows are aggregated by scan and bucket before they are shuffled; requests for
+the same scan share it. Codes are compared in upper case throughout.
 """
 
 from __future__ import annotations
@@ -24,29 +25,38 @@ def classify(listing: DataFrame) -> DataFrame:
     return named.withColumns({"period": title_period(title), "quarter": title_quarter(title), "consolidation_status": title_status(title)})
 
 
-def _buckets() -> dict[str, Column]:
-    """Which rows each bucket takes, by name."""
-    period, quarter, status, low = F.col("period"), F.col("quarter"), F.col("consolidation_status"), F.lower("title")
-    out = {"first": F.lit(True)}
-    for s, of_status in enumerate(v.STATUSES):
-        out[f"says{s}"] = low.contains(of_status.lower())
-        out[f"half{s}"] = (period == v.HALF) & (status == of_status)
-        out[f"annual{s}"] = (period == v.ANNUAL) & (status == of_status)
-        out |= {f"quarter{q}{s}": (period == v.QUARTER) & (quarter == q) & (status == of_status) for q in QUARTERS}
-    return out
-
-
-def summary(classified: DataFrame) -> DataFrame:
-    """scan_code, scan_year (null: all years of the code), rows, failed and a struct<pos, title, link> for each bucket."""
-    row = F.struct("pos", "title", "link")
-    ok = F.col("status") == "ok" if "status" in classified.columns else F.lit(True)
-    failed = F.max(F.when(~ok, F.struct("status", "detail"))) if "status" in classified.columns else F.lit(None).cast("struct<status:string,detail:string>")
-    firsts = {name: F.min(F.when(ok & takes, row)) for name, takes in _buckets().items()}
-    by_year = classified.groupBy(F.col("stock_code").alias("scan_code"), F.col("listing_year").alias("scan_year")).agg(
-        F.sum(ok.cast("long")).alias("rows"), failed.alias("failed"), *(f.alias(n) for n, f in firsts.items())
-    )
-    whole = by_year.groupBy("scan_code").agg(F.sum("rows").alias("rows"), F.max("failed").alias("failed"), *(F.min(n).alias(n) for n in firsts))
-    return by_year.where("scan_year IS NOT NULL").unionByName(whole.withColumn("scan_year", F.lit(None).cast("int")))
+#: A scan's buckets: all rows, those whose title says a status, and those of a period, quarter and status.
+BUCKETS = ("first", *(f"{name}{s}" for s in range(len(v.STATUSES)) for name in ("says", "half", "annual", *(f"quarter{q}" for q in QUARTERS))))
+
+
+def _buckets() -> Column:
+    """The names of the buckets that take a classified row."""
+    period, low = F.col("period"), F.col("_low")
+    status = F.coalesce(*(F.when(F.col("consolidation_status") == of, F.lit(str(s))) for s, of in enumerate(v.STATUSES)))
+    kind = F.when(period == v.HALF, "half").when(period == v.ANNUAL, "annual").when(period == v.QUARTER, F.concat(F.lit("quarter"), F.col("quarter").cast("string")))
+    says = (F.when(low.contains(of.lower()), F.lit(f"says{s}")) for s, of in enumerate(v.STATUSES))
+    return F.filter(F.array(F.lit("first"), *says, F.concat(kind, status)), lambda x: x.isNotNull())
+
+
+def summary(classified: DataFrame, cut: bool = False) -> DataFrame:
+    """scan_code, scan_year (null: all years of the code), rows, failed and a struct<pos, title, link> for each bucket.
+
+    cut: the rows have a scan_code and scan_year already; else each counts for its year and for all years.
+    """
+    c = F.col
+    if not cut:
+        years = F.array_distinct(F.array(c("listing_year"), F.lit(None).cast("int")))
+        classified = classified.withColumns({"scan_code": F.upper(c("stock_code").cast("string")), "scan_year": F.explode(years)})
+    may_fail = "status" in classified.columns
+    ok = c("status") == "ok" if may_fail else F.lit(True)
+    why = F.when(~ok, F.struct("status", "detail")) if may_fail else F.lit(None).cast("struct<status:string,detail:string>")
+    named = classified.withColumn("_low", F.lower("title"))
+    each = named.select("scan_code", "scan_year", F.when(ok, F.struct("pos", "title", "link")).alias("row"), why.alias("why"), F.explode(F.when(ok, _buckets()).otherwise(F.array(F.lit("failed")))).alias("bucket"))
+    of_bucket = each.groupBy("scan_code", "scan_year", "bucket").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.max("why").alias("why"))
+    entry = F.struct("bucket", F.struct("n", "row", "why").alias("found"))
+    maps = of_bucket.groupBy("scan_code", "scan_year").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    at = lambda name, field: F.try_element_at("m", F.lit(name)).getField(field)
+    return maps.select("scan_code", "scan_year", F.coalesce(at("first", "n"), F.lit(0)).alias("rows"), at("failed", "why").alias("failed"), *(at(b, "row").alias(b) for b in BUCKETS))
 
 
 def scan_year(period: Column, year: Column) -> Column:
@@ -81,10 +91,13 @@ def resolve(requests: DataFrame, listing: DataFrame, classified: bool = False) -
     """
     c = F.col
     period, quarter, year, status, code = c("period"), c("quarter"), c("year"), c("consolidation_status"), c("stock_code").cast("string")
-    sums = summary(listing if classified else classify(listing))
+    asked = scans(requests).select("scan_code", "scan_year")
+    mine = (F.upper(c("stock_code").cast("string")) == c("scan_code")) & (c("scan_year").isNull() | (c("listing_year") == c("scan_year")))
+    rows = listing.join(asked, mine)
+    sums = summary(rows if classified else classify(rows), cut=True)
     none = F.lit(None).cast("int")
     keyed = requests.withColumns({"_code": F.upper(code), "_year": scan_year(period, year)})
-    joined = keyed.join(sums, (c("_code") == F.upper(c("scan_code").cast("string"))) & c("_year").eqNullSafe(c("scan_year")), "left")
+    joined = keyed.join(sums, (c("_code") == c("scan_code")) & c("_year").eqNullSafe(c("scan_year")), "left")
 
     # the quarter asked for, or else the nearest earlier one of the year that has anything
     of_quarter = F.array(*(_by_status(v.QUARTER, f"quarter{q}", F.lit(q)) for q in QUARTERS))
@@ -157,17 +170,20 @@ def resolve(requests: DataFrame, listing: DataFrame, classified: bool = False) -
 def pick(resolved: DataFrame, answers: DataFrame, *keys: str) -> DataFrame:
     """Settles open choices by the first answer that is a number of one.
 
-    answers: keys, attempt, raw. Requests without a usable answer stay open.
+    answers: keys, attempt, raw. Requests without a usable answer stay open; one that is open without a prompt or choices
+    is an error.
     """
     n = F.expr("try_cast(trim(raw) AS int)")
     open_ = resolved.where("outcome = 'CLARIFY'").select(*keys, F.size("possible_choices").alias("_most"))
     usable = answers.withColumn("_n", n).join(open_, list(keys)).where("_n BETWEEN 1 AND _most").groupBy(*keys).agg(F.min_by("_n", "attempt").alias("_n"))
     joined = resolved.join(usable, list(keys), "left")
-    settled = F.col("_n").isNotNull() & (F.col("outcome") == "CLARIFY")
+    lacks = (F.col("outcome") == "CLARIFY") & ((F.coalesce("clarification_prompt", F.lit("")) == "") | (F.coalesce(F.size("possible_choices"), F.lit(0)) < 1))
+    settled = F.col("_n").isNotNull() & (F.col("outcome") == "CLARIFY") & ~lacks
     chosen = F.when(settled, F.element_at("possible_choices", F.col("_n")))
     return joined.select(
-        *(F.col(k) for k in resolved.columns if k not in ("outcome", "report_link", "clarification_prompt", "possible_choices")),
-        F.when(settled, "LINK").otherwise(F.col("outcome")).alias("outcome"),
+        *(F.col(k) for k in resolved.columns if k not in ("outcome", "report_link", "error_message", "clarification_prompt", "possible_choices")),
+        F.when(lacks, "ERROR").when(settled, "LINK").otherwise(F.col("outcome")).alias("outcome"),
+        F.when(lacks, v.NO_PROMPT).otherwise(F.col("error_message")).alias("error_message"),
         F.coalesce(chosen["link"], F.col("report_link")).alias("report_link"),
         F.when(~settled, F.col("clarification_prompt")).alias("clarification_prompt"),
         F.when(~settled, F.col("possible_choices")).alias("possible_choices"),
