@@ -18,8 +18,16 @@ def json_rows(df: DataFrame, path: str, pretty: bool = True) -> None:
     df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), options).alias("value")).write.mode("overwrite").text(path)
 
 
-def markdown(docs: DataFrame, path: str, *, engine: str = "engine", doc: str = "doc", text: str = "markdown") -> None:
-    """A folder for each engine and document, with the document's text as it is."""
+def markdown(docs: DataFrame, path: str, *, engine: str = "engine", doc: str = "doc", text: str = "markdown", buckets: int = 0) -> None:
+    """A folder for each engine and document, with the document's text as it is.
+
+    For so many documents that a folder for each is too many: with buckets, a folder for each engine and bucket of
+    documents (by hash), which holds Parquet files of doc and text.
+    """
+    if buckets:
+        by = F.pmod(F.xxhash64(doc), F.lit(buckets)).cast("int")
+        docs.select(engine, by.alias("bucket"), doc, text).repartition(engine, "bucket").write.mode("overwrite").partitionBy(engine, "bucket").parquet(path)
+        return
     docs.select(engine, doc, text).write.mode("overwrite").partitionBy(engine, doc).option("lineSep", "\n").text(path)
 
 

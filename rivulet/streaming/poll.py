@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST = 350
-WAIT_S = 2
 DONE, FAILED = "complete", "failed"
 
 
