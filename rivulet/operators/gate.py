@@ -66,6 +66,17 @@ def skip_notes(gated: DataFrame, *keys: str) -> DataFrame:
     return gated.where("NOT kept").groupBy(*keys).agg(F.concat(F.lit(v.SKIPPED), lines).alias("note"))
 
 
+def take_next(state: DataFrame, pending: str = "pending") -> DataFrame:
+    """The first of the pending requests as current, the others as pending, and error_message where none is left."""
+    left = F.coalesce(F.size(pending), F.lit(0)) > 0
+    out = {
+        "current": F.when(left, F.get(F.col(pending), F.lit(0))),
+        pending: F.when(left, F.slice(pending, F.lit(2), F.greatest(F.size(pending) - 1, F.lit(0)))).otherwise(F.col(pending)),
+        "error_message": F.when(~left, v.NO_PENDING),
+    }
+    return state.withColumns(out)
+
+
 def renumbered(requests: DataFrame, *keys: str) -> DataFrame:
     """pos without gaps."""
     return requests.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")) - 1)

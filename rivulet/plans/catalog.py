@@ -372,3 +372,83 @@ def q27_answer(spark, sf_dir):
     aim = F.concat(F.lit("aim "), F.col("c_custkey").cast("string"))
     queries = requests(spark, sf_dir).select(F.col("c_custkey").alias("query_id"), gate.encode(one, aim).alias("intent_json"))
     return answer(queries, listing(spark, sf_dir), F.lit("2030-01-01").cast("date")).select("query_id", "final_response")
+
+
+@query(f"WITH {_RESOLVED} SELECT request_id, CASE WHEN error_message IS NOT NULL THEN 'ERROR' WHEN n > 1 THEN 'CLARIFY' ELSE 'LINK' END AS outcome, report_link FROM O")
+def q28_mixed_case(spark, sf_dir):
+    """Codes in either case, in listings and requests: each request is answered once."""
+    filed, asked = listing(spark, sf_dir), requests(spark, sf_dir)
+    case = F.when(F.col("o_orderkey") % 2 == 0, "ab").otherwise("AB")
+    filed = filed.withColumn("stock_code", F.concat(case, "stock_code"))
+    asked = asked.withColumn("stock_code", F.concat(F.lit("aB"), "stock_code"))
+    return resolve.resolve(asked, filed).select("request_id", "outcome", "report_link")
+
+
+@query(f"""
+WITH {_RESOLVED}
+SELECT request_id, CASE WHEN c_custkey % 5 < 2 THEN NULL ELSE report_link END AS report_link,
+       CASE c_custkey % 5 WHEN 0 THEN {_fill(v.UNKNOWN_CODE, code="code")} WHEN 1 THEN {_fill(v.BROKEN_LISTING, detail="'down ' || code")} ELSE error_message END AS error_message
+FROM O""")
+def q29_failed_scans(spark, sf_dir):
+    """Two of five codes have a listing that could not be read, by a time-out or another fault."""
+    asked = requests(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    read = listing(spark, sf_dir).select("stock_code", "listing_year", "pos", "title_raw", "link_raw", F.lit("ok").alias("status"), none.alias("detail"))
+    late = F.col("c_custkey") % 5 == 0
+    detail = F.when(~late, F.concat(F.lit("down "), "stock_code"))
+    failed = asked.where("c_custkey % 5 < 2").select(
+        "stock_code", F.col("year").alias("listing_year"), F.lit(None).cast("int").alias("pos"), none.alias("title_raw"), none.alias("link_raw"), F.when(late, "timeout").otherwise("error").alias("status"), detail.alias("detail")
+    )
+    return resolve.resolve(asked, read.union(failed)).select("request_id", "report_link", "error_message")
+
+
+_FIFTH = _RESOLVED.replace("CAST(1 + c_custkey % 4 AS INTEGER) AS q", "CAST(5 AS INTEGER) AS q")
+
+
+@query(f"WITH {_FIFTH} SELECT request_id, CASE WHEN error_message IS NOT NULL THEN 'ERROR' WHEN n > 1 THEN 'CLARIFY' ELSE 'LINK' END AS outcome, report_link, error_message FROM O")
+def q30_no_such_quarter(spark, sf_dir):
+    """A fifth quarter: an error where it is looked up, else the nearest earlier one."""
+    asked = requests(spark, sf_dir).withColumn("quarter", F.lit(5))
+    return resolve.resolve(asked, listing(spark, sf_dir)).select("request_id", "outcome", "report_link", "error_message")
+
+
+_NO_CONTEXT = '{"requests":[],"comparison_context":null}'
+
+
+@query(f"""
+WITH S AS (SELECT c_custkey AS query_id, c_custkey % 4 AS k, 'aim ' || c_custkey AS aim, {_lit(v.SKIPPED)} || '- ' || c_custkey || ' Cả năm/2031' AS skipped FROM customer),
+N AS (SELECT *, CASE k WHEN 1 THEN {_lit(v.NOTHING_ASKED)} WHEN 2 THEN skipped END AS notification FROM S)
+SELECT query_id, notification, CASE WHEN notification IS NULL THEN {_lit(v.APOLOGY)} ELSE {_fill(v.STATE_ONLY, context="aim", note="notification")} END AS final_response,
+       CASE k WHEN 0 THEN {_fill(v.BROKEN_QUERY, detail="'{'")} WHEN 3 THEN {_fill(v.BROKEN_QUERY, detail=_lit(_NO_CONTEXT))} END AS error_message
+FROM N""")
+def q31_nothing_collected(spark, sf_dir):
+    """Intents that cannot be read, that ask for nothing, or only for what is not out yet."""
+    from rivulet.plans.answer import answer
+
+    k, none = F.col("c_custkey"), F.lit(None)
+    late = F.struct(F.lit("req_1").alias("request_id"), k.cast("string").alias("stock_code"), F.lit(2031).alias("year"), F.lit(v.ANNUAL).alias("period"), none.cast("int").alias("quarter"), none.cast("string").alias("consolidation_status"))
+    aim = F.concat(F.lit("aim "), k.cast("string"))
+    one = gate.encode(F.filter(F.array(late), lambda _: k % 4 == 2), aim)
+    queries = table(spark, sf_dir, "customer").select(k.alias("query_id"), F.when(k % 4 == 0, "{").when(k % 4 == 3, _NO_CONTEXT).otherwise(one).alias("intent_json"))
+    return answer(queries, listing(spark, sf_dir), F.lit("2030-01-01").cast("date")).select("query_id", "notification", "final_response", "error_message")
+
+
+@query(f"""
+SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 'first' END AS current, CAST(CASE WHEN c_custkey % 3 = 2 THEN 1 ELSE 0 END AS INTEGER) AS n_left,
+       CASE WHEN c_custkey % 3 = 0 THEN {_lit(v.NO_PENDING)} END AS error_message FROM customer""")
+def q32_take_next(spark, sf_dir):
+    pending = F.slice(F.array(F.lit("first"), F.lit("second")), F.lit(1), (F.col("c_custkey") % 3).cast("int"))
+    state = gate.take_next(table(spark, sf_dir, "customer").select("c_custkey", pending.alias("pending")))
+    return state.select("c_custkey", "current", F.size("pending").alias("n_left"), "error_message")
+
+
+@query(f"""
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 < 2 THEN 'LINK' ELSE 'ERROR' END AS outcome, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 < 2 THEN 'l' END AS report_link,
+       CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 < 2 THEN NULL ELSE {_lit(v.NO_PROMPT)} END AS error_message FROM customer""")
+def q33_prompt_guard(spark, sf_dir):
+    """Open choices without a prompt or choices are errors, whatever is answered."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    choices = F.when(k % 3 < 2, F.array(F.struct(F.lit("t").alias("title"), F.lit("l").alias("link"))))
+    open_ = table(spark, sf_dir, "customer").select("c_custkey", F.lit("CLARIFY").alias("outcome"), none.alias("report_link"), none.alias("error_message"), F.when(k % 2 == 0, "p").alias("clarification_prompt"), choices.alias("possible_choices"))
+    answers = open_.select("c_custkey", F.lit(1).alias("attempt"), F.lit("1").alias("raw"))
+    return resolve.pick(open_, answers, "c_custkey").select("c_custkey", "outcome", "report_link", "error_message")
