@@ -45,7 +45,7 @@ def test_listing_source_pushes_filters_down(spark, tmp_path):
     assert len(rows) == 2 * 2 * 2 + 2 and {(r.stock_code, r.status) for r in rows if r.status != "ok"} == {("BAD", "error")}
     one = df.where("listing_year = 2024 AND stock_code = 'FPT'")
     assert {(r.stock_code, r.listing_year) for r in one.collect()} == {("FPT", 2024)}
-    reader = listing.ListingReader({"codes": "a,b", "years": "1,2"})
+    reader = listing.ListingReader({"codes": "a,b", "years": "1,2", "url": "file:///x/{code}-{year}"})
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     left = list(reader.pushFilters([EqualTo(("listing_year",), 2), EqualTo(("stock_code",), "B"), GreaterThan(("pos",), 3)]))
@@ -160,12 +160,98 @@ def test_sinks(spark, tmp_path):
     assert v.PERIODS and v.STATUSES
 
 
-def test_years_need_a_url_that_names_them():
-    import pytest
+def test_years_of_an_address_without_a_year(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, In
 
-    for options in ({"codes": "aaa", "years": "2024"}, {"codes": "aaa", "years": "2024,2023", "url": "file:///x/{code}.html"}):
-        with pytest.raises(ValueError, match="year"):
-            listing.ListingSource(options).reader(None)
-    assert len(listing.ListingSource({"codes": "aaa"}).reader(None).partitions()) == 1
-    named = {"codes": "aaa", "years": "2024,2023", "url": "file:///x/{code}-{year}.html"}
-    assert len(listing.ListingSource(named).reader(None).partitions()) == 2
+    row = '<p class="i-b-d"><a href="/{n}.pdf">Báo cáo quý {n} năm {y} 01/02/2025 10:00</a></p>'
+    page = "<div class='p-t-xs'>" + "".join(row.format(n=n, y=y) for n, y in enumerate((2024, 2023, 2024, 2022), 1)) + '<p class="i-b-d"><a href="/x">Nghị quyết 01/02/2023 10:00</a></p></div>'
+    (tmp_path / "FPT").write_text(page, encoding="utf-8")
+    listing.register(spark)
+    read = lambda **o: spark.read.format("filing_listing").options(codes="fpt,bad", url=f"file://{tmp_path}/{{code}}", **o).load()
+    got = read(years="2023,2024").collect()
+    assert {(r.stock_code, r.listing_year, r.pos) for r in got if r.status == "ok"} == {("FPT", 2024, 0), ("FPT", 2023, 1), ("FPT", 2024, 2)}
+    assert {(r.stock_code, r.listing_year) for r in got if r.status == "error"} == {("BAD", 2023), ("BAD", 2024)}
+    assert {r.pos for r in read().where("listing_year = 2022 AND stock_code = 'FPT'").collect()} == {3}  # the filter chooses the year
+    assert {(r.listing_year, r.pos) for r in read().where("stock_code = 'FPT'").collect()} == {(None, k) for k in range(5)}
+    # the default address has no year: a page for each code, cut to the years
+    reader = listing.ListingReader({"codes": "a,b", "years": "2023,2024"})
+    assert [(p.code, p.year, p.years) for p in reader.partitions()] == [("A", None, (2023, 2024)), ("B", None, (2023, 2024))]
+    list(reader.pushFilters([EqualTo(("listing_year",), 2024)]))
+    assert [p.years for p in reader.partitions()] == [(2024,)] * 2
+    reader = listing.ListingReader({"codes": "a", "url": "file:///x/{code}-{year}"})
+    list(reader.pushFilters([In(("listing_year",), (2024, 2021))]))
+    assert [p.year for p in reader.partitions()] == [2021, 2024]
+    assert listing.shown_year("quý 1 năm 2024 01/02/2025 10:00") == 2024 and listing.shown_year("số 120245 x") is None
+
+
+def test_faults_are_rows(spark):
+    from http.client import BadStatusLine
+
+    def get(url):
+        if "bad" in url:
+            raise BadStatusLine("x")
+        return b"content"
+
+    urls = spark.createDataFrame([("u",), ("bad",)], "url string")
+    got = {r.url: (r.content and bytes(r.content), bool(r.error)) for r in documents.remote(urls, get).collect()}
+    assert got == {"u": (b"content", False), "bad": (None, True)}
+
+    def post(form):
+        if form["job_id"] == "j2":
+            raise ConnectionResetError("gone")
+        return {"request_check_url": "c/" + form["job_id"]} if form["job_id"] != "j3" else {}
+
+    jobs = spark.createDataFrame([(f"j{k}", "u") for k in range(1, 4)], "job_id string, file_url string")
+    sent = {r.job_id: (r.check_url, r.error) for r in documents.submit(jobs, post).collect()}
+    assert sent == {"j1": ("c/j1", None), "j2": (None, "gone"), "j3": (None, "the reply has no request_check_url")}
+
+
+def test_submitted_jobs_are_polled(spark):
+    class Service:  # a job ends at the reply that its address names
+        def __init__(self):
+            self.asked = {}
+
+        def __call__(self, url):
+            if url == "broken":
+                return b"<html>"
+            n = self.asked[url] = self.asked.get(url, 0) + 1
+            kind, last = url.split("-")
+            return json.dumps({"status": kind if n >= int(last) else "processing", "markdown": "é"}).encode()
+
+    rows = [("a", "complete-1", None), ("b", "failed-3", None), ("c", "complete-9", None), ("d", None, "gone"), ("e", "broken", None)]
+    submitted = spark.createDataFrame(rows, "job_id string, check_url string, error string").coalesce(1)
+    got = {r.job_id: r for r in documents.poll(submitted, Service(), most=4, wait_s=0).collect()}
+    assert {j: (r.status, r.attempts) for j, r in got.items()} == {"a": ("complete", 1), "b": ("failed", 3), "c": (None, 4), "d": (None, 0), "e": (None, 1)}
+    assert got["a"].error is None and json.loads(got["a"].payload)["markdown"] == "é" and got["c"].error == "not done after 4 replies" and got["d"].error == "gone" and got["e"].error
+
+
+def test_images_become_stacked_tiles(spark):
+    rng = np.random.default_rng(0)
+    image = rng.integers(0, 256, (30, 60, 3), dtype=np.uint8)
+    assert (tiles.resized(image, 60, 30) == image).all()
+    assert (tiles.resized(np.full((7, 5, 3), 9, np.uint8), 16, 16) == 9).all()
+    for size, to in ((60, 16), (16, 60), (5, 5), (7, 3)):
+        w = tiles._weights(size, to)
+        assert w.sum(axis=1) == pytest.approx(1) and (w[::-1, ::-1] == pytest.approx(w))  # symmetric
+    ramp = np.repeat(np.arange(0, 200, 5, dtype=np.uint8)[None, :, None], 3, axis=0).repeat(3, axis=2)
+    half = tiles.resized(ramp, 20, 3)[0, 2:-2, 0].astype(int)
+    assert (np.abs(half - (np.arange(2, 18) * 10 + 2.5)) <= 1).all()  # a line stays a line
+    for w, h in ((60, 30), (30, 60), (31, 30), (900, 30)):
+        assert tiles.closest_cell(w, h, 1, 6, 16) == fold(w, h, 6, 16)
+    got = tiles.stacked(image, 6, 16)
+    assert got.shape == (3, 3, 16, 16)  # two tiles and the whole
+    large = tiles.resized(image, 32, 16)
+    assert got[1] == pytest.approx(tiles.normalised(large[:, 16:])) and got[2] == pytest.approx(tiles.normalised(tiles.resized(image, 16, 16)))
+    grey = rng.integers(0, 256, (16, 16), dtype=np.uint8)
+    assert tiles.rgb(grey).shape == (16, 16, 3) and tiles.rgb(np.dstack([image, image[:, :, :1]])).shape == image.shape
+    df = spark.createDataFrame([("a", bytearray(image.tobytes())), ("b", bytearray(b"x"))], "doc string, content binary")
+    rows = tiles.pixel_values(df, lambda b: np.frombuffer(b, np.uint8).reshape(30, 60, 3), 6, 16).orderBy("doc", "n").collect()
+    assert [(r.doc, r.n, r.pixels is None) for r in rows] == [("a", 0, False), ("a", 1, False), ("a", 2, False), ("b", 0, True)] and rows[3].error
+    assert rows[1].pixels == pytest.approx(got[1].ravel().tolist(), abs=1e-6)
+
+
+def test_markdown_in_buckets(spark, tmp_path):
+    docs = spark.createDataFrame([("m", f"d{k}", "x\ny") for k in range(50)], "engine string, doc string, markdown string")
+    sinks.markdown(docs, str(tmp_path / "m"), buckets=4)
+    assert len(list((tmp_path / "m" / "engine=m").glob("bucket=*"))) <= 4
+    assert {(r.doc, r.markdown) for r in spark.read.parquet(str(tmp_path / "m")).collect()} == {(f"d{k}", "x\ny") for k in range(50)}
