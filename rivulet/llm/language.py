@@ -36,6 +36,8 @@ SAMPLE = 3000
 LANGUAGES = 64
 EPOCHS = 6
 STEP = LENGTH - max(WIDTHS) + 1
+#: Bytes that are scored at a time, also of one text.
+PIECE = 1 << 19
 
 
 def windows(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,13 +129,24 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: in
 def predict(net: Network, pairs: dict[int, list[np.ndarray]], column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """place of the language, probability for each text of a binary column."""
     best, score = np.zeros(len(column), np.int64), np.zeros(len(column))
-    for part in tokens.parts(column, 1 << 19):
-        rows, doc, weight = windows(tokens.LOWER[part.data], part.ends)
-        logits, docs = net.logits(rows, pairs), len(part.ends)
-        total = np.maximum(np.bincount(doc, weight, docs), 1)
-        mean = np.stack([np.bincount(doc, weight * logits[:, k], docs) / total for k in range(len(net.languages))], axis=1)
+
+    def sums(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each document, the weighted sum of its windows' logits, and of their weights."""
+        rows, doc, weight = windows(tokens.LOWER[data], ends)
+        logits = net.logits(rows, pairs)
+        return np.stack([np.bincount(doc, weight * x, len(ends)) for x in (*logits.T, np.ones(len(doc)))], axis=1)
+
+    for part in tokens.parts(column, PIECE):
+        if len(part.data) > 2 * PIECE:  # one long document: some of its windows at a time
+            step, size = PIECE // STEP * STEP, len(part.data)
+            starts = range(0, max(1, size - (LENGTH - STEP)), step)
+            pieces = (part.data[lo : lo + step + LENGTH - STEP] for lo in starts)
+            total = sum(sums(data, np.array([len(data)])) for data in pieces)
+        else:
+            total = sums(part.data, part.ends)
+        mean = total[:, :-1] / np.maximum(total[:, -1:], 1)
         p = np.exp(mean - mean.max(axis=1, keepdims=True))
-        here = slice(part.first, part.first + docs)
+        here = slice(part.first, part.first + len(part.ends))
         best[here], score[here] = mean.argmax(axis=1), (p / p.sum(axis=1, keepdims=True)).max(axis=1)
     return best, score
 

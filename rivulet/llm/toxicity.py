@@ -334,11 +334,35 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = S
     return train(list(texts), list(texts.values()))
 
 
-def _score(model: Network | None, column: pa.Array) -> np.ndarray:
+def long_logit(net: Network, data: np.ndarray, piece: int) -> float:
+    """document_logits() of one document's bytes, about `piece` of them at a time.
+
+    A piece ends after a whole number of strides, and the next one begins with its last stride; so all pieces together
+    have the document's windows.
+    """
+    best, lo, size = -np.inf, 0, len(data)
+    step = piece
+    while True:
+        hi = min(size, lo + step)
+        w = tokens.words(_PLAIN[data[lo:hi]], np.array([hi - lo]))
+        if hi < size:
+            strides = int(np.searchsorted(w.ends, hi - lo)) // STRIDE  # of words that end before the piece does
+            if strides < 3:  # long words
+                step *= 2
+                continue
+            hi = lo + int(w.ends[strides * STRIDE - 1])
+        if len(w.starts) > STRIDE or not lo:  # else what is left was in the piece before
+            best = max(best, float(document_logits(net, read(tokens.Part(0, data[lo:hi], np.array([hi - lo]))))[0]))
+        if hi == size:
+            return best
+        lo, step = lo + int(w.starts[(strides - 1) * STRIDE]), piece
+
+
+def _score(model: Network | None, column: pa.Array, piece: int = 1 << 18) -> np.ndarray:
     out = np.zeros(len(column))
     if model:
-        for part in tokens.parts(column, 1 << 18):
-            logit = document_logits(model, read(part))
+        for part in tokens.parts(column, piece):
+            logit = np.array([long_logit(model, part.data, piece)]) if len(part.data) > 2 * piece else document_logits(model, read(part))
             out[part.first : part.first + len(logit)] = np.where(np.isfinite(logit), model.scores(logit), 0.0)
     return out
 

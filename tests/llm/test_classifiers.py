@@ -245,3 +245,22 @@ def test_quality_against_a_direct_solution(spark):
     direct = {(i, round(s, 9)) for (i, _), s in zip(rows, want)}
     near = sum(any(i == j and abs(s - t) < 1e-6 for j, t in direct) for i, s in got)
     assert len(got) == len(direct) and near >= 0.99 * len(got)  # a bin's edge may fall between two sums of the same numbers
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{k}" for k in range(300)] + ["x" * 90]
+    texts = [" ".join(rng.choice(vocabulary, n)) + end for n in (1, 7, 8, 9, 63, 64, 65, 500, 1003, 1600) for end in ("", " ", "!" * 400)] + ["y" * 3000, " " * 3000]
+    hashes = toxicity.read(next(iter(tokens.parts(columns(texts))))).hashes
+    net = toxicity.Network.random(rng, np.unique(hashes)).single()
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        want = toxicity.document_logits(net, toxicity.read(tokens.Part(0, data, np.array([len(data)]))))[0]
+        for piece in (100, 333, 1024):
+            assert toxicity.long_logit(net, data, piece) == pytest.approx(want, abs=1e-5)
+    languages = language.Network(["a", "b"], {w: rng.normal(0, 0.1, (w, 256, language.FILTERS)) for w in language.WIDTHS}, np.zeros(36), rng.normal(0, 0.3, (36, 2)), np.zeros(2))
+    whole = language.predict(languages, languages.pairs(), columns(texts))
+    for piece in (260, 700, 1500):
+        monkeypatch.setattr(language, "PIECE", piece)
+        place, score = language.predict(languages, languages.pairs(), columns(texts))
+        assert place.tolist() == whole[0].tolist() and score == pytest.approx(whole[1], abs=1e-5)
