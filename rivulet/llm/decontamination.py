@@ -125,7 +125,7 @@ class Index:
 
     def matches(self, part: tokens.Part) -> list[tuple[int, int, int, int, float, int]]:
         """document (its place in the part), item, first word, words, similarity, distance: the best window of each pair."""
-        data = tokens.LOWER[part.data]
+        data = tokens.mapped(part.data, tokens.LOWER)
         w = tokens.words(data, part.ends)
         heads = np.cumsum(w.counts) - w.counts
         best: dict[tuple[int, int], tuple[float, int, int, int]] = {}

@@ -39,32 +39,45 @@ _KIND = np.zeros(256, np.uint8)
 for _k, _of in enumerate(KINDS, 1):
     _KIND[list(_of)] = _k
 FEATURES = len(KINDS) + 10
+#: Lines as words: the line's end is the only byte that does not join them.
+_LINES = np.array([32 if b == 10 else 0 if b in (9, 11, 12, 13, 32) else b for b in range(256)], np.uint8)
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
     """How many different hashes each document has."""
+    if docs == 1:
+        return np.array([len(np.unique(h))])
     first = np.unique(tokens.mixed(h + tokens.mixed(doc.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
     return np.bincount(doc[first], minlength=docs)
 
 
+def _shares(kind: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many bytes of each kind but 0 each document has, counted some bytes at a time."""
+    total = np.zeros((len(ends), len(KINDS) + 1), np.int64)
+    for lo in range(0, len(kind), tokens.PIECE):
+        some = kind[lo : lo + tokens.PIECE]
+        doc_of = np.repeat(np.arange(len(ends)), np.diff(np.clip(ends, lo, lo + len(some)), prepend=lo))
+        total += np.bincount(doc_of * (len(KINDS) + 1) + some, minlength=total.size).reshape(total.shape)
+    return total[:, 1:]
+
+
 def statistics(part: tokens.Part) -> np.ndarray:
     """A row of statistics for each document of the part."""
     docs, raw = len(part.ends), part.data
     starts = np.concatenate(([0], part.ends[:-1])).astype(np.int64)
     size = (part.ends - starts).astype(np.float64)
     some = np.maximum(size, 1)
-    kind = _KIND[raw]
-    doc_of = np.repeat(np.arange(docs), part.ends - starts)
-    shares = np.bincount(doc_of * (len(KINDS) + 1) + kind, minlength=docs * (len(KINDS) + 1)).reshape(docs, -1)[:, 1:]
-    low = tokens.LOWER[raw]
+    kind = tokens.mapped(raw, _KIND)
+    shares = _shares(kind, part.ends)
+    low = tokens.mapped(raw, tokens.LOWER)
     w = tokens.words(low, part.ends)
     count = np.maximum(w.counts, 1)
     length = w.ends - w.starts
-    upper = np.concatenate(([0], np.cumsum(kind == 1)))
-    shouted = (upper[w.ends] - upper[w.starts] >= 2) & (length >= 2) & ((upper[w.ends] - upper[w.starts]) * 2 > length)
-    # lines as words: every other byte than a line's end joins them
-    as_lines = np.where(low == 10, np.uint8(32), np.where(low == 32, np.uint8(0), low))
-    lines = tokens.words(np.where(np.isin(as_lines, (9, 11, 12, 13)), np.uint8(0), as_lines), part.ends)
+    upper = np.concatenate((np.zeros(1, np.int32), np.cumsum(kind == 1, dtype=np.int32)))  # a column holds less than 2 GB
+    capitals = upper[w.ends] - upper[w.starts]
+    shouted = (capitals >= 2) & (capitals * 2 > length)
+    del upper, capitals
+    lines = tokens.words(tokens.mapped(low, _LINES), part.ends)
     line_count = np.maximum(lines.counts, 1)
     g, at = tokens.grams(w, 3)
     gram_doc = w.doc[at]

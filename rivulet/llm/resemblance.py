@@ -52,14 +52,14 @@ def _sequences(w: tokens.Words) -> np.ndarray:
 
 def wholes(column: pa.Array) -> np.ndarray:
     """Equal numbers for texts of equal words in equal order."""
-    found = [_sequences(tokens.words(tokens.LOWER[part.data], part.ends)) for part in tokens.parts(column)]
+    found = [_sequences(tokens.words(tokens.mapped(part.data, tokens.LOWER), part.ends)) for part in tokens.parts(column)]
     return np.concatenate([np.zeros(0, np.int64), *found])
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
     """For each text, its shingles' hashes in order, each once, and a hash of its whole sequence of words."""
     for part in tokens.parts(column):
-        w = tokens.words(tokens.LOWER[part.data], part.ends)
+        w = tokens.words(tokens.mapped(part.data, tokens.LOWER), part.ends)
         h, at = tokens.grams(w, SHINGLE)
         doc = w.doc[at]
         order = np.lexsort((h, doc))

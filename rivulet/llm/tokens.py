@@ -1,7 +1,8 @@
 """Words of many texts at once: numpy over the bytes of an Arrow column, with no Python loop over words or documents.
 
 A word is a run of bytes other than space and 0x09-0x0D, lower-cased in A-Z; words never cross documents. A word's
-64-bit hash is a polynomial of its bytes, from one running sum over the buffer, and mixed; equal words have equal hashes.
+64-bit hash is a polynomial of its bytes, from running sums over PIECE bytes at a time, and mixed; equal words have equal
+hashes, also where a piece ends within one. So a long text takes little more memory than its words' positions and hashes.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_SPACE = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
+_INSIDE = ~np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
+PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2 ** 64
 _powers: dict[str, np.ndarray] = {}
 
@@ -28,6 +30,11 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
+def mapped(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data] for bytes and a table of 256 bytes, without an index of eight bytes for each."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finalizer: every bit of the result depends on every bit of h."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -81,7 +88,7 @@ def words(data: np.ndarray, ends: np.ndarray) -> Words:
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(0, np.uint64), np.zeros(len(ends), np.int64))
-    inside = ~_SPACE[data]
+    inside = mapped(data, _INSIDE)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = np.concatenate(([0], ends[:-1]))
@@ -91,11 +98,19 @@ def words(data: np.ndarray, ends: np.ndarray) -> Words:
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     stops = np.flatnonzero(last) + 1
-    running = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=running[1:])
-    hashes = mixed((running[stops] - running[starts]) * _power("down", n)[starts])
+    sums = np.zeros(len(starts), np.uint64)
+    for lo in range(0, n, PIECE):
+        hi = min(n, lo + PIECE)
+        running = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * _power("up", hi - lo), out=running[1:])
+        own = slice(np.searchsorted(stops, lo, side="right"), np.searchsorted(starts, hi))
+        first, last = np.maximum(starts[own] - lo, 0), np.minimum(stops[own] - lo, hi - lo)
+        here = (running[last] - running[first]) * _power("down", hi - lo)[first]
+        if len(here) and starts[own.start] < lo:  # the rest of a word
+            here[:1] *= np.uint64(pow(_BASE, lo - int(starts[own.start]), 1 << 64))
+        sums[own] += here
     doc = np.searchsorted(ends, starts, side="right")
-    return Words(starts, stops, doc, hashes, np.bincount(doc, minlength=len(ends)))
+    return Words(starts, stops, doc, mixed(sums), np.bincount(doc, minlength=len(ends)))
 
 
 def grams(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

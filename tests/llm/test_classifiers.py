@@ -264,3 +264,21 @@ def test_long_texts_are_scored_in_pieces(monkeypatch):
         monkeypatch.setattr(language, "PIECE", piece)
         place, score = language.predict(languages, languages.pairs(), columns(texts))
         assert place.tolist() == whole[0].tolist() and score == pytest.approx(whole[1], abs=1e-5)
+
+
+def test_words_do_not_depend_on_where_pieces_end(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [b"", b" \n ", b"x" * 700, *(bytes(rng.choice(list(b"abAB1! \n\t"), rng.integers(1, 400)).astype(np.uint8)) for _ in range(60))]
+    column = pa.array([*texts, None, "é ".encode() * 90], pa.binary())
+
+    def all_of() -> tuple:
+        parts = list(tokens.parts(column))
+        w = [tokens.words(tokens.mapped(p.data, tokens.LOWER), p.ends) for p in parts]
+        return [(x.starts, x.ends, x.doc, x.hashes, x.counts) for x in w], [quality.statistics(p) for p in parts]
+
+    words, statistics = all_of()
+    for piece in (1, 3, 64, 1000):
+        monkeypatch.setattr(tokens, "PIECE", piece)
+        again, of = all_of()
+        assert all(np.array_equal(x, y) for a, b in zip(words, again, strict=True) for x, y in zip(a, b, strict=True))
+        assert all(np.array_equal(x, y) for x, y in zip(statistics, of, strict=True))
