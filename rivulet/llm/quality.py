@@ -47,7 +47,8 @@ def _distinct(doc: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
     """How many different hashes each document has."""
     if docs == 1:
         return np.array([len(np.unique(h))])
-    first = np.unique(tokens.mixed(h + tokens.mixed(doc.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+    # not the mixed number of a document, which is the hash of a word of one byte
+    first = np.unique(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]
     return np.bincount(doc[first], minlength=docs)
 
 

@@ -282,3 +282,6 @@ def test_words_do_not_depend_on_where_pieces_end(monkeypatch):
         again, of = all_of()
         assert all(np.array_equal(x, y) for a, b in zip(words, again, strict=True) for x, y in zip(a, b, strict=True))
         assert all(np.array_equal(x, y) for x, y in zip(statistics, of, strict=True))
+    # a document alone has the statistics that it has among others
+    alone = [quality.statistics(p) for p in tokens.parts(column, 1)]
+    assert np.allclose(np.concatenate(alone), np.concatenate(statistics))
