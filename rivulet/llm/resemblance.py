@@ -13,8 +13,10 @@ connected in two steps:
   groups differ by key, most of a large group of near copies is tied together at a cost in proportion to its size.
 * Where a crowd is then of several components, its texts outside the largest are compared with all that are of another.
   Texts whose sketches overlap enough share one of the rarest hashes of their sketches (prefix filtering). Up to PAIRS
-  texts that share such a hash are compared each with each, so texts that only have a line in common cost little; texts
-  that more share are compared within their crowd by their whole sets, in pairs of blocks of about BLOCK shingles.
+  texts that share such a hash are compared each with each, so texts that only have a line in common cost little. Where
+  more share one, the same is done with whole sets: similar texts share one of their rarest fifth of shingles, so texts
+  of one template that fill over a fifth of it with their own words cost little, too. Texts that more than PAIRS share
+  such a shingle with are compared within their crowd, in pairs of blocks of about BLOCK shingles.
 """
 
 from __future__ import annotations
@@ -149,9 +151,29 @@ class _Texts:
         likely = checkpoint(near.where(shared >= LEAST_OVERLAP).select("a", "b"))
         asked = likely.select(F.explode(F.array("a", "b")).alias("id"))
         sets = self.sets((asked.union(besides) if besides else asked).distinct())
-        same = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        exact = likely.join(_of(sets, "a", "shingles"), "a").join(_of(sets, "b", "shingles"), "b")
-        return checkpoint(exact.where(same >= SIMILARITY * (F.size("shingles_a") + F.size("shingles_b") - same)).select("a", "b")), sets
+        return _exact(likely, sets), sets
+
+
+def _rarest(hashes: DataFrame, least: float) -> DataFrame:
+    """id, root, h, n: of each text's rarest hashes those that n texts have, not all of one root.
+
+    hashes: id, root, size (hashes of the text), h. It is read twice. Two texts that share the part least of the hashes
+    of either have one of these in common.
+    """
+    common = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    mine = Window.partitionBy("id")
+    nth = F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("n", "h"))  # hashes of one text come first
+    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9) + 1
+    rare = checkpoint(hashes.join(common, "h").withColumn("nth", nth).where(F.col("nth") <= prefix).select("id", "root", "h"))
+    lists = rare.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "n")
+    return checkpoint(rare.join(lists, "h"))
+
+
+def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b of enough similarity."""
+    same = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    both = pairs.join(_of(sets, "a", "shingles"), "a").join(_of(sets, "b", "shingles"), "b")
+    return checkpoint(both.where(same >= SIMILARITY * (F.size("shingles_a") + F.size("shingles_b") - same)).select("a", "b"))
 
 
 def _crowded(texts: _Texts, crowds: DataFrame, linked: DataFrame) -> DataFrame | None:
@@ -166,17 +188,18 @@ def _crowded(texts: _Texts, crowds: DataFrame, linked: DataFrame) -> DataFrame |
     salted = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     split = checkpoint(rooted.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).select("key", "id", "root", (F.col("root") != F.col("main")).alias("rest")))
     hashes = split.select("id", "root").distinct().join(texts.all, "id").select("id", "root", F.size("sketch").alias("size"), F.explode("sketch").alias("h"))
-    hashes = checkpoint(hashes)
-    common = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    mine = Window.partitionBy("id")
-    nth = F.col("size") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("n", "h"))  # hashes of one text come first
     # sketches of similar texts differ in size by no more than the texts do
-    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(LEAST_OVERLAP * SIMILARITY)) + 1
-    rare = checkpoint(hashes.join(common, "h").withColumn("nth", nth).where(F.col("nth") <= prefix).select("id", "root", "h"))
-    lists = rare.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "n")
-    shared = checkpoint(rare.join(lists, "h"))
-    many = shared.where(F.col("n") > PAIRS).select("id").distinct()
-    found, sets = texts.similar(_pairs(shared.where(F.col("n") <= PAIRS), "h", "l.root <> r.root").distinct(), many)
+    shared = _rarest(checkpoint(hashes), LEAST_OVERLAP * SIMILARITY)
+    some = checkpoint(shared.where(F.col("n") > PAIRS).select("id", "root").distinct())
+    found, sets = texts.similar(_pairs(shared.where(F.col("n") <= PAIRS), "h", "l.root <> r.root").distinct(), some.select("id"))
+    if some.isEmpty():
+        return found
+    whole = sets.join(some, "id").select("id", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
+    closer = _rarest(whole, SIMILARITY)
+    found = found.union(_exact(checkpoint(_pairs(closer.where(F.col("n") <= PAIRS), "h", "l.root <> r.root").distinct()), sets))
+    many = checkpoint(closer.where(F.col("n") > PAIRS).select("id").distinct())
+    if many.isEmpty():
+        return found
     sizes = sets.join(many, "id", "left_semi").select("id", F.size("shingles").alias("size"))
     members = checkpoint(split.join(sizes, "id"))
     blocks = members.groupBy("key").agg(F.sum("size").alias("whole"), F.sum(F.when(F.col("rest"), F.col("size"))).alias("part")).where("part IS NOT NULL")

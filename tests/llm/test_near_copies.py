@@ -262,6 +262,40 @@ def test_copies_that_share_a_common_passage(spark):
     assert sorted(r.doc_id for r in sd.drop_near_copies(docs).collect()) == sorted(i for i in groups if groups[i] == i)
 
 
+def test_pages_of_one_template_are_not_compared_each_with_each(spark, monkeypatch):
+    monkeypatch.setattr(resemblance, "_matches", None)  # blocks of a crowd
+    rng = random.Random(9)
+    template = [f"template{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        own = [f"page{k}x{j}" for j in range(50)]
+        rows.append((k, " ".join(template + own)))
+        if k % 10 == 0:
+            own[rng.randrange(50)] = "changed"
+            rows.append((1000 + k, " ".join(template + own)))
+    groups = brute_groups(rows)
+    want = sorted(i for i in groups if groups[i] == i)
+    assert len(want) == 120
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in sd.drop_near_copies(docs).collect()) == want
+
+
+def test_texts_that_overlap_enough_share_one_of_their_rarest_hashes(spark):
+    rng = random.Random(10)
+    sets = {}
+    for k in range(120):
+        n = rng.randrange(1, 30)
+        sets[k] = set(rng.sample(range(40), n))
+        sets[1000 + k] = {h if rng.random() < 0.93 else 100 + h for h in sets[k]}
+    hashes = spark.createDataFrame([(i, i, len(s), h) for i, s in sets.items() for h in s], "id long, root long, size int, h long")
+    lists = defaultdict(set)
+    for r in resemblance._rarest(hashes, 0.8).collect():
+        lists[r.h].add(r.id)
+    found = {(a, b) for ids in lists.values() for a in ids for b in ids}
+    enough = {(a, b) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= 0.8 * max(len(sets[a]), len(sets[b]))}
+    assert len(enough) > 100 and enough <= found
+
+
 def test_pivots_meet_a_bounded_number_of_texts(spark):
     crowds = spark.range(5000).selectExpr("cast(7 AS long) AS key", "id", "5000L AS n").union(spark.range(20).selectExpr("9L", "id", "20L"))
     stars = resemblance._stars(crowds, 5000).collect()
